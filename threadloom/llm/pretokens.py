@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from threadloom.llm.textkernel import LETTER, NUMBER, OTHER, SPACE, unicode_tables
+from threadloom.llm.textkernel import LETTER, NUMBER, OTHER, SPACE, look, unicode_tables
 
 APOSTROPHE = 39
 #: Endings that follow an apostrophe as one token (fixed values).
@@ -52,7 +52,7 @@ def _contractions(cps, kind, edge, at_start) -> list[tuple[np.ndarray, int]]:
 
 
 def _runs(cps, bounds, specials):
-    kind = unicode_tables()[0][np.minimum(cps, 0xFFFF)].copy()
+    kind = look(unicode_tables()[0], cps)
     edge = np.zeros(len(cps) + 1, bool)
     edge[bounds] = True
     spans = special_spans(cps, bounds, specials)
@@ -115,7 +115,9 @@ def word_level(cps: np.ndarray, bounds: np.ndarray, specials: tuple[str, ...], r
 
 def stable_rows(cps: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Which texts have only characters that the tables are sure of."""
-    bad = (cps > 0xFFFF) | ~unicode_tables()[1][np.minimum(cps, 0xFFFF)]
+    bad = ~look(unicode_tables()[1], cps)
+    if cps.dtype != np.uint8:
+        bad |= cps > 0xFFFF
     if not bad.any():
         return np.ones(len(bounds) - 1, bool)
     total = np.concatenate([[0], np.cumsum(bad)])

@@ -96,7 +96,37 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def look(table: np.ndarray, cps: np.ndarray) -> np.ndarray:
+    """Entries of a table over the basic plane; code points beyond it share the last entry."""
+    return table.take(cps) if cps.dtype == np.uint8 else table.take(cps, mode="clip")
+
+
+def code_points(text: str) -> np.ndarray:
+    """A text's code points, one byte each if all are below 256."""
+    try:
+        return np.frombuffer(text.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def to_text(cps: np.ndarray) -> str:
+    return cps.tobytes().decode("latin-1" if cps.dtype == np.uint8 else "utf-32-le")
+
+
+def lowered(cps: np.ndarray) -> np.ndarray:
+    """Each character's own lower case."""
+    table = unicode_tables()[2]
+    if cps.dtype == np.uint8:
+        return table[:256].astype(np.uint8).take(cps)
+    return np.where(cps > 0xFFFF, cps, look(table, cps))
+
+
+def sorted_unique(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def chunks(texts: pa.Array, max_rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, code points, bounds) of pieces of a string array; nulls count as empty.
 
     ``bounds`` has one more entry than rows: text i has code points bounds[i]:bounds[i + 1].
@@ -108,12 +138,12 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     a, n = 0, len(texts)
     while a < n:
         b = max(a + 1, int(np.searchsorted(ends, ends[a] + CHUNK_CHARS, side="right")) - 1)
+        b = min(b, a + max_rows)
         part = texts.slice(a, b - a)
         offsets = np.frombuffer(part.buffers()[1], np.int64, count=part.offset + len(part) + 1)[part.offset :]
         data = part.buffers()[2]
         raw = memoryview(data)[offsets[0] : offsets[-1]] if data is not None else b""
-        cps = np.frombuffer(str(raw, "utf-8").encode("utf-32-le"), np.uint32)
-        yield a, b, cps, ends[a : b + 1] - ends[a]
+        yield a, b, code_points(str(raw, "utf-8")), ends[a : b + 1] - ends[a]
         a = b
 
 
@@ -122,11 +152,11 @@ def span_hashes(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = powers(len(cps) + 1)
-    v = _char_values()[np.minimum(cps, 0xFFFF)]
-    if len(cps) and cps.max() > 0xFFFF:
+    v = look(_char_values(), cps)
+    if cps.dtype != np.uint8 and len(cps) and cps.max() > 0xFFFF:
         high = cps > 0xFFFF
         v[high] = mix(cps[high].astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-    v = v * up[: len(cps)]
+    v *= up[: len(cps)]
     total = np.zeros(len(cps) + 1, np.uint64)
     np.cumsum(v, out=total[1:])
     h = (total[ends] - total[starts]) * down[starts]
@@ -135,7 +165,7 @@ def span_hashes(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 def plain_words(cps: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row bounds) of the words ``[^\\x20\\x09-\\x0D]+`` of each text."""
-    white = _plain_white()[np.minimum(cps, 0xFFFF)]
+    white = look(_plain_white(), cps)
     edge = np.zeros(len(cps) + 1, bool)
     edge[bounds] = True
     first = np.flatnonzero(~white & (edge[:-1] | np.concatenate([[True], white[:-1]])))
@@ -145,7 +175,9 @@ def plain_words(cps: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def fold_ascii(cps: np.ndarray) -> np.ndarray:
     """A-Z in lower case, all else as it is."""
-    return np.where((cps >= 65) & (cps <= 90), cps + np.uint32(32), cps)
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] += 32
+    return table.take(cps) if cps.dtype == np.uint8 else np.where((cps >= 65) & (cps <= 90), cps + np.uint32(32), cps)
 
 
 def word_hashes(cps: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

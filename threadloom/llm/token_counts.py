@@ -69,9 +69,8 @@ def library_pretokens(tok, specials: tuple[str, ...], text: str) -> list[str]:
 def _blocks(texts: pa.Array, path: str) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
     """(first row, end row, distinct pre-tokens, index of each one's pre-token, its row) by block."""
     tok, specials, _ = load(path)
-    lower = textkernel.unicode_tables()[2]
     for a, b, raw, bounds in textkernel.chunks(texts):
-        cps = np.where(raw > 0xFFFF, raw, lower[np.minimum(raw, 0xFFFF)])
+        cps = textkernel.lowered(raw)
         start, end = pretokens.word_level(cps, bounds, specials, raw)
         row = np.searchsorted(bounds, start, side="right") - 1
         ok = pretokens.stable_rows(raw, bounds)
@@ -79,13 +78,13 @@ def _blocks(texts: pa.Array, path: str) -> Iterator[tuple[int, int, list[str], n
         start, end, row = start[keep], end[keep], row[keep]
         hashes = textkernel.span_hashes(cps, start, end)
         _, first, index = np.unique(hashes, return_index=True, return_inverse=True)
-        flat = cps.tobytes().decode("utf-32-le")
+        flat = textkernel.to_text(cps)
         words = [flat[x:y] for x, y in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         if not ok.all():
             known: dict[str, int] = {w: k for k, w in enumerate(words)}
             more, rows = [], []
             for r in np.flatnonzero(~ok):
-                text = raw[bounds[r] : bounds[r + 1]].tobytes().decode("utf-32-le")
+                text = textkernel.to_text(raw[bounds[r] : bounds[r + 1]])
                 got = [known.setdefault(w, len(known)) for w in library_pretokens(tok, specials, text)]
                 more += got
                 rows += [r] * len(got)
