@@ -8,12 +8,12 @@ pre-token and sum up per document. Ids are never materialised.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 from threadloom.llm import pretokens, textkernel
 from threadloom.session import settle
 
-#: Texts are cut at white space into pieces of about this many characters, so that
-#: one text never makes a block of its own size.
-BLOCK_CHARS = 4_000_000
+#: Characters of the texts whose frequencies go out as one block.
+BLOCK_CHARS = 16_000_000
 
 
 @lru_cache(4)
@@ -66,8 +65,8 @@ def library_pretokens(tok, specials: tuple[str, ...], text: str) -> list[str]:
     return out
 
 
-def _blocks(texts: pa.Array, path: str) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
-    """(first row, end row, distinct pre-tokens, index of each one's pre-token, its row) by block."""
+def _blocks(texts: pa.Array, path: str) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, distinct pre-tokens, their hashes, index of each one's pre-token, its row) by chunk."""
     tok, specials, _ = load(path)
     for a, b, raw, bounds in textkernel.chunks(texts):
         cps = textkernel.lowered(raw)
@@ -77,7 +76,7 @@ def _blocks(texts: pa.Array, path: str) -> Iterator[tuple[int, int, list[str], n
         keep = ok[row]
         start, end, row = start[keep], end[keep], row[keep]
         hashes = textkernel.span_hashes(cps, start, end)
-        _, first, index = np.unique(hashes, return_index=True, return_inverse=True)
+        distinct, first, index = np.unique(hashes, return_index=True, return_inverse=True)
         flat = textkernel.to_text(cps)
         words = [flat[x:y] for x, y in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         if not ok.all():
@@ -88,9 +87,15 @@ def _blocks(texts: pa.Array, path: str) -> Iterator[tuple[int, int, list[str], n
                 got = [known.setdefault(w, len(known)) for w in library_pretokens(tok, specials, text)]
                 more += got
                 rows += [r] * len(got)
+            distinct = np.append(distinct, [_hash(w) for w in list(known)[len(words) :]]).astype(np.uint64)
             words = list(known)
             index, row = np.append(index, np.array(more, np.int64)), np.append(row, np.array(rows, np.int64))
-        yield a, b, words, index, row
+        yield a, b, words, distinct, index, row
+
+
+def _hash(word: str) -> np.uint64:
+    cps = textkernel.code_points(word)
+    return textkernel.span_hashes(cps, np.array([0]), np.array([len(cps)]))[0]
 
 
 def _distinct(path: str):
@@ -99,7 +104,7 @@ def _distinct(path: str):
     def run(batches):
         seen: set[str] = set()
         for batch in batches:
-            for _, _, words, _, _ in _blocks(batch.column("text"), path):
+            for _, _, words, *_ in _blocks(batch.column("text"), path):
                 seen.update(words)
                 if len(seen) > 1_000_000:
                     yield pa.RecordBatch.from_pydict({"pretoken": pa.array(list(seen), pa.string())})
@@ -132,72 +137,128 @@ def _numbered(batches) -> Iterator[tuple[int, pa.RecordBatch]]:
 
 
 def _frequencies(path: str):
-    """Per block and pre-token: rows of the block (as steps) and counts, packed as int32 pairs."""
+    """Per block and pre-token: the block's rows that hold it, as steps, and how often.
+
+    A posting is twice the step from the row before, plus one if the pre-token
+    stands there more than once; those counts follow in ``more``.
+    """
+
+    def flush(block: int, parts: list) -> Iterator[pa.RecordBatch]:
+        words = np.concatenate([w for w, *_ in parts])
+        shift = np.cumsum([0, *(len(w) for w, *_ in parts[:-1])])
+        _, first, same = np.unique(np.concatenate([h for _, h, *_ in parts]), return_index=True, return_inverse=True)
+        word = same[np.concatenate([index + k for k, (_, _, index, _, _) in zip(shift.tolist(), parts, strict=True)])]
+        row, count = (np.concatenate([p[k] for p in parts]) for k in (3, 4))
+        order = np.argsort(word, kind="stable")  # rows ascend within each pre-token
+        word, row, count = word[order], row[order], count[order]
+        cut = np.searchsorted(word, np.arange(len(first) + 1))
+        step = np.diff(row, prepend=0)
+        step[cut[:-1]] = row[cut[:-1]]
+        many = count > 1
+        wide = bool(step.max(initial=0) >= 1 << 15 or count.max(initial=0) >= 1 << 16)
+        kind = np.uint32 if wide else np.uint16
+        extra = np.concatenate([[0], np.cumsum(many)])[cut]
+        whole = pa.RecordBatch.from_pydict(
+            {
+                "block": pa.array(np.full(len(first), block), pa.int64()), "wide": pa.array(np.full(len(first), wide)), "pretoken": pa.array(words[first], pa.string()),
+                "postings": _binary((2 * step + many).astype(kind), cut), "more": _binary(count[many].astype(kind), extra),
+            }
+        )
+        for i in range(0, len(first), 100_000):
+            yield whole.slice(i, 100_000)
 
     def run(batches):
         for base, batch in _numbered(batches):
-            for a, _, words, index, row in _blocks(batch.column("text"), path):
-                if not len(index):
-                    continue
-                n_rows = int(row.max()) + 1
-                key, count = np.unique(index.astype(np.int64) * n_rows + row, return_counts=True)
-                word, doc = np.divmod(key, n_rows)
-                cut = np.searchsorted(word, np.arange(len(words) + 1)).astype(np.int32)
-                step = np.diff(doc, prepend=0)
-                step[cut[:-1][cut[:-1] < cut[1:]]] = doc[cut[:-1][cut[:-1] < cut[1:]]]
-                small = (step < 65536).all() and (count < 65536).all()
-                data = np.column_stack([step, count]).astype(np.uint16 if small else np.uint32).tobytes()
-                width = 4 if small else 8
-                post = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer((cut * np.int32(width)).tobytes()), pa.py_buffer(data)])
-                whole = pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(words), base + a), pa.int64()), "wide": pa.array(np.full(len(words), not small)), "pretoken": pa.array(words, pa.string()), "postings": post})
-                for i in range(0, len(words), 100_000):
-                    yield whole.slice(i, 100_000)
+            parts, size, block = [], 0, base
+            sizes = np.concatenate([[0], np.cumsum(pc.utf8_length(pc.fill_null(batch.column("text"), "")).to_numpy(zero_copy_only=False).astype(np.int64))])
+            for a, b, words, hashes, index, row in _blocks(batch.column("text"), path):
+                if parts and size + sizes[b] - sizes[a] > BLOCK_CHARS:
+                    yield from flush(block, parts)
+                    parts, size, block = [], 0, base + a
+                if len(index):
+                    n = b - a
+                    key, count = np.unique(index.astype(np.int64) * n + row, return_counts=True)
+                    word, doc = np.divmod(key, n)
+                    parts.append((np.array(words, object), hashes, word, doc + (base + a - block), count))
+                    size += sizes[b] - sizes[a]
+            if parts:
+                yield from flush(block, parts)
 
     return run
 
 
+def _binary(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """A binary array whose element i holds values[cut[i] : cut[i + 1]]."""
+    offsets = (cut * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _values(column: list[bytes], wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    kind = np.dtype(np.uint32 if wide else np.uint16)
+    return np.frombuffer(b"".join(column), kind).astype(np.int64), np.array([len(x) for x in column], np.int64) // kind.itemsize
+
+
 def _sums(batches):
     """Adds pieces times counts into one array per block; a task's arrays go out when they are many."""
     sums: dict[int, np.ndarray] = {}
 
     def out():
         for block, total in sums.items():
-            rows = np.flatnonzero(total)
-            if len(rows):
-                yield pa.RecordBatch.from_pydict({"row_no": pa.array(rows + block, pa.int64()), "n": pa.array(total[rows], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
     for batch in batches:
         blocks, n = batch.column("block").to_numpy(), batch.column("n_pieces").to_numpy().astype(np.int64)
         wide = batch.column("wide").to_numpy(zero_copy_only=False)
-        post = batch.column("postings")
-        parts: dict[tuple[int, bool], list] = defaultdict(list)
-        for k, (b, w) in enumerate(zip(blocks.tolist(), wide.tolist(), strict=True)):
-            parts[b, w].append(k)
-        for (block, w), ks in parts.items():
-            raw = [post[k].as_py() for k in ks] if len(parts) > 1 else post.to_pylist()
-            lengths = np.array([len(x) for x in raw]) // (8 if w else 4)
-            pairs = np.frombuffer(b"".join(raw), np.uint32 if w else np.uint16).reshape(-1, 2).astype(np.int64)
-            if not len(pairs):
+        post, more = batch.column("postings").to_pylist(), batch.column("more").to_pylist()
+        order = np.lexsort((wide, blocks))
+        cuts = np.flatnonzero((np.diff(blocks[order]) != 0) | (np.diff(wide[order].astype(int)) != 0)) + 1
+        for ks in np.split(order, cuts):
+            if not len(ks):
                 continue
-            run = np.cumsum(pairs[:, 0])
+            block, w = int(blocks[ks[0]]), bool(wide[ks[0]])
+            values, lengths = _values([post[k] for k in ks], w)
+            extra, _ = _values([more[k] for k in ks], w)
+            step, count = values >> 1, np.ones(len(values), np.int64)
+            count[(values & 1).astype(bool)] = extra
+            run = np.cumsum(step)
             first = np.cumsum(lengths) - lengths
-            lead = np.where(first > 0, run[first - 1], 0)
-            doc = run - np.repeat(lead, lengths)
-            got = np.bincount(doc, weights=pairs[:, 1] * np.repeat(n[ks], lengths)).astype(np.int64)
+            doc = run - np.repeat(np.where(first > 0, run[first - 1], 0), lengths)
+            got = np.bincount(doc, weights=count * np.repeat(n[ks], lengths)).astype(np.int64)
             old = sums.get(block)
-            if old is None:
-                sums[block] = got
-            else:
+            if old is not None:
                 if len(old) < len(got):
                     old, got = got, old
                 old[: len(got)] += got
-                sums[block] = old
+                got = old
+            sums[block] = got
         if sum(map(len, sums.values())) > 4_000_000:
             yield from out()
             sums = {}
     yield from out()
 
 
+def _totals(batches):
+    """Rows come by block: the sum of each block's arrays, as rows."""
+    now, total = None, np.zeros(0, np.int64)
+
+    def out():
+        rows = np.flatnonzero(total)
+        for i in range(0, len(rows), 100_000):
+            part = rows[i : i + 100_000]
+            yield pa.RecordBatch.from_pydict({"row_no": pa.array(part + now, pa.int64()), "n": pa.array(total[part], pa.int64())})
+
+    for batch in batches:
+        for block, blob in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+            if block != now:
+                yield from out()
+                now, total = block, np.zeros(0, np.int64)
+            got = np.frombuffer(blob, np.int64)
+            if len(got) > len(total):
+                total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
+            total[: len(got)] += got
+    yield from out()
+
+
 def _rows(batches):
     for base, batch in _numbered(batches):
         keep = {c: batch.column(c) for c in batch.schema.names}
@@ -217,9 +278,9 @@ def count_tokens(documents: DataFrame, path: str, limit: int = 2048) -> DataFram
         texts.mapInArrow(_distinct(path), "pretoken string").distinct().mapInArrow(_pieces(path), "pretoken string, n_pieces int"),
         "pieces",
     )
-    frequencies = texts.mapInArrow(_frequencies(path), "block long, wide boolean, pretoken string, postings binary")
-    matched = frequencies.join(pieces, "pretoken").select("block", "wide", "postings", "n_pieces")
-    sums = matched.mapInArrow(_sums, "row_no long, n long").groupBy("row_no").agg(F.sum("n").alias("n"))
+    frequencies = texts.mapInArrow(_frequencies(path), "block long, wide boolean, pretoken string, postings binary, more binary")
+    matched = frequencies.join(pieces, "pretoken").select("block", "wide", "postings", "more", "n_pieces")
+    sums = matched.mapInArrow(_sums, "block long, sums binary").repartition("block").sortWithinPartitions("block").mapInArrow(_totals, "row_no long, n long")
     sized = documents.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     rows = sized.mapInArrow(_rows, "doc_id long, n_bytes long, row_no long")
     n = F.coalesce("n", F.lit(0)).cast("long")
