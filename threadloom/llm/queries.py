@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from threadloom.llm.bpe_codec import op6_bpe_codec
+from threadloom.llm.decontaminate import op4_decontaminate
 from threadloom.llm.jaccard_join import op5_jaccard_join
+from threadloom.llm.language_id import op2_language_id
+from threadloom.llm.pii import op3_pii
 from threadloom.llm.token_counts import op1_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_language_id": op2_language_id,
+        "op3_pii": op3_pii,
+        "op4_decontaminate": op4_decontaminate,
         "op5_jaccard_join": op5_jaccard_join,
+        "op6_bpe_codec": op6_bpe_codec,
     }
 
 
