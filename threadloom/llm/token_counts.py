@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from threadloom.llm import pretokens, textkernel
 from threadloom.session import settle
 
-#: Characters of the texts whose frequencies go out as one block.
-BLOCK_CHARS = 16_000_000
+#: Bytes of the texts whose frequencies go out as one block.
+BLOCK_BYTES = 16_000_000
 
 
 @lru_cache(4)
@@ -143,7 +143,13 @@ def _frequencies(path: str):
     stands there more than once; those counts follow in ``more``.
     """
 
-    def flush(block: int, parts: list) -> Iterator[pa.RecordBatch]:
+    def flush(block: int, parts: list, ids: pa.Array, n_bytes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        known = np.asarray(ids.is_valid())
+        meta = ids.fill_null(0).to_numpy().tobytes() + known.tobytes() + n_bytes.astype(np.int64).tobytes()
+        # No pre-token holds white space, so this one is the block's own.
+        yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "wide": pa.array([False]), "pretoken": pa.array([f" {block}"]), "postings": pa.array([meta], pa.binary()), "more": pa.array([b""], pa.binary())})
+        if not parts:
+            return
         words = np.concatenate([w for w, *_ in parts])
         shift = np.cumsum([0, *(len(w) for w, *_ in parts[:-1])])
         _, first, same = np.unique(np.concatenate([h for _, h, *_ in parts]), return_index=True, return_inverse=True)
@@ -169,20 +175,22 @@ def _frequencies(path: str):
 
     def run(batches):
         for base, batch in _numbered(batches):
-            parts, size, block = [], 0, base
-            sizes = np.concatenate([[0], np.cumsum(pc.utf8_length(pc.fill_null(batch.column("text"), "")).to_numpy(zero_copy_only=False).astype(np.int64))])
-            for a, b, words, hashes, index, row in _blocks(batch.column("text"), path):
-                if parts and size + sizes[b] - sizes[a] > BLOCK_CHARS:
-                    yield from flush(block, parts)
-                    parts, size, block = [], 0, base + a
+            text, ids = pc.fill_null(batch.column("text"), ""), batch.column("doc_id")
+            n_bytes = pc.binary_length(text).to_numpy(zero_copy_only=False)
+            parts, start, size = [], 0, 0
+            for a, b, words, hashes, index, row in _blocks(text, path):
+                own = int(n_bytes[a:b].sum())
+                if size and size + own > BLOCK_BYTES:
+                    yield from flush(base + start, parts, ids.slice(start, a - start), n_bytes[start:a])
+                    parts, start, size = [], a, 0
+                size += own
                 if len(index):
                     n = b - a
                     key, count = np.unique(index.astype(np.int64) * n + row, return_counts=True)
                     word, doc = np.divmod(key, n)
-                    parts.append((np.array(words, object), hashes, word, doc + (base + a - block), count))
-                    size += sizes[b] - sizes[a]
-            if parts:
-                yield from flush(block, parts)
+                    parts.append((np.array(words, object), hashes, word, doc + (a - start), count))
+            if batch.num_rows:
+                yield from flush(base + start, parts, ids.slice(start), n_bytes[start:])
 
     return run
 
@@ -199,14 +207,22 @@ def _values(column: list[bytes], wide: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sums(batches):
-    """Adds pieces times counts into one array per block; a task's arrays go out when they are many."""
+    """Adds pieces times counts into one array per block; a task's arrays go out when they
+    are many. What belongs to a block itself passes through."""
     sums: dict[int, np.ndarray] = {}
 
+    def row(block: int, total: np.ndarray | None, meta: bytes | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "sums": pa.array([total if total is None else total.tobytes()], pa.binary()), "meta": pa.array([meta], pa.binary())})
+
     def out():
         for block, total in sums.items():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+            yield row(block, total, None)
 
     for batch in batches:
+        own = batch.filter(pc.is_null(batch.column("n_pieces")))
+        for block, meta in zip(own.column("block").to_pylist(), own.column("postings").to_pylist(), strict=True):
+            yield row(block, None, meta)
+        batch = batch.filter(pc.is_valid(batch.column("n_pieces")))
         blocks, n = batch.column("block").to_numpy(), batch.column("n_pieces").to_numpy().astype(np.int64)
         wide = batch.column("wide").to_numpy(zero_copy_only=False)
         post, more = batch.column("postings").to_pylist(), batch.column("more").to_pylist()
@@ -238,20 +254,26 @@ def _sums(batches):
 
 
 def _totals(batches):
-    """Rows come by block: the sum of each block's arrays, as rows."""
-    now, total = None, np.zeros(0, np.int64)
+    """Rows come by block: the sum of each block's arrays, a row per document."""
+    now, total, meta = None, np.zeros(0, np.int64), b""
 
     def out():
-        rows = np.flatnonzero(total)
-        for i in range(0, len(rows), 100_000):
-            part = rows[i : i + 100_000]
-            yield pa.RecordBatch.from_pydict({"row_no": pa.array(part + now, pa.int64()), "n": pa.array(total[part], pa.int64())})
+        n = len(meta) // 17
+        ids, known, n_bytes = np.frombuffer(meta, np.int64, n), np.frombuffer(meta, bool, n, 8 * n), np.frombuffer(meta[9 * n :], np.int64)
+        tokens = np.zeros(n, np.int64)
+        tokens[: len(total)] = total[:n]
+        whole = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, mask=~known), "n_bytes": pa.array(n_bytes), "n_tokens": pa.array(tokens)})
+        for i in range(0, n, 100_000):
+            yield whole.slice(i, 100_000)
 
     for batch in batches:
-        for block, blob in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+        for block, blob, own in zip(*(batch.column(c).to_pylist() for c in ("block", "sums", "meta")), strict=True):
             if block != now:
                 yield from out()
-                now, total = block, np.zeros(0, np.int64)
+                now, total, meta = block, np.zeros(0, np.int64), b""
+            if own is not None:
+                meta = own
+                continue
             got = np.frombuffer(blob, np.int64)
             if len(got) > len(total):
                 total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
@@ -259,12 +281,6 @@ def _totals(batches):
     yield from out()
 
 
-def _rows(batches):
-    for base, batch in _numbered(batches):
-        keep = {c: batch.column(c) for c in batch.schema.names}
-        yield pa.RecordBatch.from_pydict(keep | {"row_no": pa.array(np.arange(batch.num_rows) + base, pa.int64())})
-
-
 def count_tokens(documents: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > ``limit``) per document row.
 
@@ -273,18 +289,16 @@ def count_tokens(documents: DataFrame, path: str, limit: int = 2048) -> DataFram
     apart by their place in the input. Other columns of ``documents`` are not
     read, so their names cannot clash. An empty table gives no rows.
     """
-    texts = documents.select("text")
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = settle(
-        texts.mapInArrow(_distinct(path), "pretoken string").distinct().mapInArrow(_pieces(path), "pretoken string, n_pieces int"),
+        documents.select("text").mapInArrow(_distinct(path), "pretoken string").distinct().mapInArrow(_pieces(path), "pretoken string, n_pieces int"),
         "pieces",
     )
-    frequencies = texts.mapInArrow(_frequencies(path), "block long, wide boolean, pretoken string, postings binary, more binary")
-    matched = frequencies.join(pieces, "pretoken").select("block", "wide", "postings", "more", "n_pieces")
-    sums = matched.mapInArrow(_sums, "block long, sums binary").repartition("block").sortWithinPartitions("block").mapInArrow(_totals, "row_no long, n long")
-    sized = documents.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    rows = sized.mapInArrow(_rows, "doc_id long, n_bytes long, row_no long")
-    n = F.coalesce("n", F.lit(0)).cast("long")
-    return rows.join(sums, "row_no", "left").select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
+    frequencies = documents.mapInArrow(_frequencies(path), "block long, wide boolean, pretoken string, postings binary, more binary")
+    matched = frequencies.join(pieces, "pretoken", "left").select("block", "wide", "postings", "more", "n_pieces")
+    sums = matched.mapInArrow(_sums, "block long, sums binary, meta binary").repartition("block").sortWithinPartitions("block")
+    counts = sums.mapInArrow(_totals, "doc_id long, n_bytes long, n_tokens long")
+    return counts.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
