@@ -205,7 +205,7 @@ def _predict(shared):
         for batch in batches:
             for a, b, cps, bounds in textkernel.chunks(batch.column("text")):
                 n = b - a
-                columns = {c: batch.column(c).slice(a, n) for c in batch.schema.names if c != "text"}
+                columns = {c: batch.column(c).slice(a, n) for c in batch.schema.names}
                 if model is None:
                     yield pa.RecordBatch.from_pydict(columns | {"lang_pred": pa.array([UNKNOWN] * n), "score": pa.array(np.zeros(n))})
                     continue
@@ -231,8 +231,8 @@ def predict(documents: DataFrame, model: LanguageModel | None, keep: list[str])
     text if nothing was learned.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return documents.select(*keep, "text").mapInArrow(_predict(shared), f"{schema}, lang_pred string, score double")
+    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in dict.fromkeys([*keep, "text"]))
+    return documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_predict(shared), f"{schema}, lang_pred string, score double").select(*keep, "lang_pred", "score")
 
 
 def identify_languages(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
