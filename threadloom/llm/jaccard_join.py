@@ -8,9 +8,10 @@ filters drop what cannot reach the threshold; each remaining pair is verified on
 on its whole sets.
 
 Groups of copies do not turn into all their pairs. Equal sets are one node from
-the start. A bucket of k sets gives k - 1 candidate links to its smallest set. Only
-in buckets that hold sets of several components after that are all pairs across
-components compared. A pair that shares a
+the start. In a bucket, all sets are first compared with the few that share the
+largest part of their own prefixes (the text that others are copies of shares all of
+it). Only in buckets that hold sets of several components after that are all pairs
+across components compared. A pair that shares a
 prefix shingle thus either is verified or lies in one component already, so no
 link between components is missed.
 
@@ -39,6 +40,8 @@ SLICES = 16
 PARTS = 8
 #: Members of a centre that one task verifies; more of them go to more tasks.
 PER_TASK = 2000
+#: Sets of a bucket that all others of it are compared with first.
+CENTRES = 3
 #: Rows of a bucket that are compared in one group.
 BLOCK = 20_000
 #: Bits of the filter that says which sets verification needs; a fuller filter lets more sets through, none get lost.
@@ -84,7 +87,7 @@ def set_ids(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return np.where(cut[1:] > cut[:-1], ids, np.uint64(0))
 
 
-CARD = "doc_id long, n int, s long, parts array<int>, slice int, counts binary"
+CARD = "doc_id long, n int, s long, p0 long, p1 long, slice int, counts binary"
 
 
 def _cards(words: int):
@@ -97,15 +100,16 @@ def _cards(words: int):
             for a, n, h, cut in shingle_sets(batch.column("text"), words):
                 bins += np.bincount((h & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
                 row = np.repeat(np.arange(n), np.diff(cut))
-                parts = np.bincount(row * PARTS + (h >> np.uint64(HASH_BITS - 3)).astype(np.int64), minlength=n * PARTS).astype(np.int32)
-                offsets = pa.array(np.arange(0, n * PARTS + 1, PARTS, dtype=np.int32))
+                parts = np.bincount(row * PARTS + (h >> np.uint64(HASH_BITS - 3)).astype(np.int64), minlength=n * PARTS)
+                packed = np.minimum(parts, 0xFFFF).astype(np.uint16).reshape(n, PARTS).view(np.int64)
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": ids.slice(a, n), "n": pa.array(np.diff(cut).astype(np.int32)), "s": pa.array(set_ids(h, cut).view(np.int64)), "parts": pa.ListArray.from_arrays(offsets, pa.array(parts)), "slice": pa.nulls(n, pa.int32()), "counts": pa.nulls(n, pa.binary())}
+                    {"doc_id": ids.slice(a, n), "n": pa.array(np.diff(cut).astype(np.int32)), "s": pa.array(set_ids(h, cut).view(np.int64)), "p0": pa.array(packed[:, 0].copy()), "p1": pa.array(packed[:, 1].copy()), "slice": pa.nulls(n, pa.int32()), "counts": pa.nulls(n, pa.binary())}
                 )
         if bins.any():
-            blobs = [x.astype(np.uint32).tobytes() for x in np.split(bins, SLICES)]
+            kind = np.uint16 if bins.max() < 1 << 16 else np.uint32
+            blobs = [x.astype(kind).tobytes() for x in np.split(bins, SLICES)]
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": pa.nulls(SLICES, pa.int64()), "n": pa.nulls(SLICES, pa.int32()), "s": pa.nulls(SLICES, pa.int64()), "parts": pa.nulls(SLICES, pa.list_(pa.int32())), "slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array(blobs, pa.binary())}
+                {"doc_id": pa.nulls(SLICES, pa.int64()), "n": pa.nulls(SLICES, pa.int32()), "s": pa.nulls(SLICES, pa.int64()), "p0": pa.nulls(SLICES, pa.int64()), "p1": pa.nulls(SLICES, pa.int64()), "slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array(blobs, pa.binary())}
             )
 
     return run
@@ -116,7 +120,7 @@ def _add_slices(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, blob in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            total[k] = total.get(k, 0) + np.frombuffer(blob, np.uint32).astype(np.int64)
+            total[k] = total.get(k, 0) + np.frombuffer(blob, np.uint16 if len(blob) == 2 * BINS // SLICES else np.uint32).astype(np.int64)
     yield pa.RecordBatch.from_pydict({"slice": pa.array(list(total), pa.int32()), "counts": pa.array([v.tobytes() for v in total.values()], pa.binary())})
 
 
@@ -170,101 +174,101 @@ def least_overlap(a, b):
     return -(-LESS * (a + b) // (MORE + LESS))
 
 
-BUCKET = "h long, s long, n int, pos int, c long, cn int, cpos int"
+def _shared(batches):
+    """Rows come by shingle and set: those of shingles that several sets have, each set once.
 
-
-def _buckets(batches):
-    """Rows come by shingle, then size, then set: each row of a bucket of several sets with its centre.
-
-    The centre is the smallest set of the bucket; a set too large to link with it
-    becomes the next centre. Only one row is kept from batch to batch.
+    Only one row is kept from batch to batch.
     """
-    held = None  # the last row, and whether it has been given out
-    centre = None
+    held, given = None, False
     for batch in batches:
-        h, s, n, pos = (batch.column(k).to_numpy() for k in ("h", "s", "n", "pos"))
-        again = np.zeros(len(h), bool)  # the same set from another task
-        again[1:] = (h[1:] == h[:-1]) & (s[1:] == s[:-1])
-        again[:1] = held is not None and len(h) > 0 and held[0] == h[0] and held[1] == s[0]
-        if again.any():
-            h, s, n, pos = (x[~again] for x in (h, s, n, pos))
+        rows = [batch.column(k).to_numpy() for k in ("h", "s", "n", "pos")]
+        if held is not None:
+            rows = [np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(held, rows, strict=True)]
+        h, s = rows[:2]
         if not len(h):
             continue
-        c, cn, cp = np.empty_like(s), np.empty_like(n), np.empty_like(pos)
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        if held is not None and held[0] == h[0]:
-            new[0] = False
-        starts = np.flatnonzero(new)
-        single = new & np.append(new[1:], False)  # the last row may have followers
-        at = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
-        # Sizes within a bucket ascend; a row that outgrows its centre starts another star.
-        ok = at >= 0
-        c[ok], cn[ok], cp[ok] = s[at[ok]], n[at[ok]], pos[at[ok]]
-        slow = np.flatnonzero(~ok | (LESS * n.astype(np.int64) > MORE * np.where(ok, cn, 0).astype(np.int64)))
-        if len(slow):
-            todo = set(at[slow].tolist())
-            for start in todo:
-                i = max(start, 0)
-                cur = centre if start < 0 else (s[i], n[i], pos[i])
-                end = int(starts[np.searchsorted(starts, i, side="right")]) if np.searchsorted(starts, i, side="right") < len(starts) else len(h)
-                while i < end:
-                    j = i + int(np.searchsorted(n[i:end].astype(np.int64) * LESS, MORE * int(cur[1]), side="right"))
-                    c[i:j], cn[i:j], cp[i:j] = cur
-                    if j < end:
-                        cur = (s[j], n[j], pos[j])
-                    i = j
-        keep = ~single
-        keep[-1] = True
-        if new[-1]:
-            keep[-1] = False  # not known yet
-        rows = {"h": h[keep], "s": s[keep], "n": n[keep], "pos": pos[keep], "c": c[keep], "cn": cn[keep], "cpos": cp[keep]}
-        if held is not None and not held[7] and not new[0]:
-            rows = {k: np.concatenate([[held[i]], v]).astype(v.dtype) for i, (k, v) in enumerate(rows.items())}
-        held = (h[-1], s[-1], n[-1], pos[-1], c[-1], cn[-1], cp[-1], bool(keep[-1]))
-        centre = (c[-1], cn[-1], cp[-1])
-        if len(rows["h"]):
-            yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in rows.items()})
-
-
-def _crossing(batches):
-    """All pairs of different components in a group that the length and positional filters let through.
-
-    Rows come by group and size; a group has at most two blocks of a bucket, and
-    its rows are compared 512 at a time.
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
+        rows = [x[fresh] for x in rows]
+        h = rows[0]
+        same = h[1:] == h[:-1]
+        keep = np.append(False, same) | np.append(same, False)
+        if given:
+            keep[0] = False
+        last = bool(keep[-1]) or (given and len(h) == 1)
+        held, given = [x[-1] for x in rows], last
+        if keep.any():
+            yield pa.RecordBatch.from_pydict({k: pa.array(x[keep]) for k, x in zip(("h", "s", "n", "pos"), rows, strict=True)})
+
+
+def can_link(x: dict[str, np.ndarray], a, b) -> np.ndarray:
+    """Whether rows a and b of one bucket pass the length, positional and suffix filters.
+
+    The positional bound takes the bucket's shingle as the first that both share; a
+    pair that shares an earlier one is judged by that one's bucket as well, so a pair
+    that can link passes in at least one.
     """
+    na, nb = x["n"][a].astype(np.int64), x["n"][b].astype(np.int64)
+    pa_, pb = x["pos"][a], x["pos"][b]
+    need = least_overlap(na, nb)
+    ok = np.minimum(na - pa_, nb - pb) >= need
+    most = np.minimum(x["parts"][a], x["parts"][b]).sum(-1, dtype=np.int64)
+    return ok & (LESS * np.maximum(na, nb) <= MORE * np.minimum(na, nb)) & ((most >= need) | (np.maximum(na, nb) > 0xFFFF))
 
-    def flush(rows):
-        if sum(map(len, rows)) < 3:  # a pair is a star of its own and has been verified
-            return
-        x = pa.Table.from_batches(rows)
-        s, n, pos, root = (x.column(k).to_numpy() for k in ("s", "n", "pos", "root"))
-        if (root == root[0]).all():
-            return
-        for i in range(0, len(s), 512):
-            lo = int(np.searchsorted(n.astype(np.int64) * MORE, LESS * int(n[i]), side="left"))
-            a, b = slice(i, i + 512), slice(lo, min(i + 512, len(s)))
-            na, nb = n[a, None].astype(np.int64), n[None, b].astype(np.int64)
-            bound = np.minimum(pos[a, None], pos[None, b]) + np.minimum(na - pos[a, None], nb - pos[None, b])
-            ok = (root[a, None] != root[None, b]) & (bound >= least_overlap(na, nb)) & (np.arange(i, i + len(na))[:, None] > np.arange(b.start, b.stop)[None, :])
-            p, q = np.nonzero(ok)
-            if len(p):
-                p, q = s[a][p], s[b][q]
-                yield pa.RecordBatch.from_pydict({"c": pa.array(np.minimum(p, q)), "s": pa.array(np.maximum(p, q))})
 
+def _groups(batches, key: str):
+    """The rows of each group, whole: a dict of arrays per group, in the order they come."""
     held: list[pa.RecordBatch] = []
+
+    def whole():
+        t = pa.Table.from_batches(held)
+        x = {c: t.column(c).to_numpy() for c in t.schema.names}
+        x["parts"] = np.stack([x.pop("p0"), x.pop("p1")], 1).view(np.uint16).reshape(-1, PARTS)
+        return x
+
     for batch in batches:
-        h = batch.column("g").to_numpy()
-        if not len(h):
+        g = batch.column(key).to_numpy()
+        if not len(g):
             continue
-        cuts = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
+        cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and held[-1].column("g")[0].as_py() != h[a]:
-                yield from flush(held)
+            if held and held[-1].column(key)[0].as_py() != g[a]:
+                yield whole()
                 held = []
             held.append(batch.slice(a, b - a))
     if held:
-        yield from flush(held)
+        yield whole()
+
+
+def _pairs(c: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"c": pa.array(np.minimum(c, s)), "s": pa.array(np.maximum(c, s))})
+
+
+def _stars(batches):
+    """Rows come by group, the sets that share most first: each row with up to CENTRES of them."""
+    for x in _groups(batches, "g"):
+        s = x["s"]
+        for k in range(min(CENTRES, len(s) - 1)):
+            others = np.arange(k + 1, len(s))
+            others = others[can_link(x, np.full(len(others), k), others)]
+            if len(others):
+                yield _pairs(np.full(len(others), s[k]), s[others])
+
+
+def _crossing(batches):
+    """All pairs of different components in a group that the filters let through."""
+    for x in _groups(batches, "g"):
+        s, n, root = x["s"], x["n"].astype(np.int64), x["root"]
+        if len(s) <= CENTRES + 1 or (root == root[0]).all():  # every pair of a small group was a candidate already
+            continue
+        for i in range(0, len(s), 64):
+            lo = int(np.searchsorted(n * MORE, LESS * n[i], side="left"))
+            a, b = np.arange(i, min(i + 64, len(s))), np.arange(lo, min(i + 64, len(s)))
+            p, q = np.nonzero((root[a, None] != root[None, b]) & (a[:, None] > b[None, :]))
+            p, q = a[p], b[q]
+            ok = can_link(x, p, q)
+            if ok.any():
+                yield _pairs(s[p[ok]], s[q[ok]])
 
 
 class IdFilter:
@@ -396,27 +400,28 @@ def jaccard_components(documents: DataFrame, words: int = WORDS) -> DataFrame:
     spark = documents.sparkSession
     found = settle(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cards(words), CARD), "cards")
     cards = found.filter("slice is null")
-    sizes = cards.filter("s <> 0").groupBy("s").agg(F.first("parts").alias("parts"))
     levels = spark.sparkContext.broadcast(rarity(found))
     prefixes = documents.select("text").mapInArrow(_prefixes(levels, words), "h long, s long, n int, pos int")
-    ordered = prefixes.repartition("h").sortWithinPartitions("h", "n", "s")
-    buckets = settle(ordered.mapInArrow(_buckets, BUCKET), "buckets")
-
-    overlap = F.least("pos", "cpos") + F.least(F.col("n") - F.col("pos"), F.col("cn") - F.col("cpos"))
-    fits = f"s <> c and {MORE + LESS} * overlap >= {LESS} * (n + cn)"
-    pairs = buckets.withColumn("overlap", overlap).filter(fits).groupBy("c", "s").agg(F.first("n").alias("n"), F.first("cn").alias("cn"))
-    pairs = settle(_suffix_filter(pairs, sizes), "pairs")
-    links = settle(verified(pairs.select("c", "s"), documents, words), "links")
+    buckets = settle(prefixes.repartition("h").sortWithinPartitions("h", "s").mapInArrow(_shared, "h long, s long, n int, pos int"), "buckets")
+    prefix = F.col("n") - F.ceil(F.col("n") * LESS / MORE) + 1
+    shares = buckets.groupBy("s").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    shares = shares.select("s", (F.col("shared") / prefix).alias("share"))
+    sets = settle(cards.filter("s <> 0").groupBy("s").agg(F.first("p0").alias("p0"), F.first("p1").alias("p1")).join(shares, "s"), "shares")
+    rows = buckets.join(sets, "s")
+    large = settle(buckets.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")).filter("k > 1"), "large")
+    blocks = not large.isEmpty()
+
+    groups = _blocks(rows, large) if blocks else rows.withColumnRenamed("h", "g")
+    stars = groups.repartition("g").sortWithinPartitions("g", F.desc("share"), "s").select("g", "s", "n", "pos", "p0", "p1")
+    pairs = settle(stars.mapInArrow(_stars, "c long, s long").distinct(), "pairs")
+    links = settle(verified(pairs, documents, words), "links")
     roots = settle(components(links), "roots")
 
-    labelled = buckets.select("h", "s", "n", "pos").join(roots.withColumnRenamed("id", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-    large = settle(buckets.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")).filter("k > 1"), "large")
-    groups = labelled.withColumnRenamed("h", "g") if large.isEmpty() else _blocks(labelled, large)
-    crossing = groups.repartition("g").sortWithinPartitions("g", "n", "s").mapInArrow(_crossing, "c long, s long").distinct()
-    n = sizes.select("s", F.aggregate("parts", F.lit(0), lambda a, x: a + x).alias("n"))
-    crossing = crossing.join(pairs, ["c", "s"], "left_anti").join(pairs.select(F.col("s").alias("c"), F.col("c").alias("s")), ["c", "s"], "left_anti")
-    crossing = crossing.join(n, "s").join(n.select(F.col("s").alias("c"), F.col("n").alias("cn")), "c")
-    crossing = settle(_suffix_filter(crossing, sizes).select("c", "s"), "crossing")
+    rows = rows.join(roots.withColumnRenamed("id", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+    groups = _blocks(rows, large) if blocks else rows.withColumnRenamed("h", "g")
+    groups = groups.repartition("g").sortWithinPartitions("g", "n", "s").select("g", "s", "n", "pos", "p0", "p1", "root")
+    crossing = groups.mapInArrow(_crossing, "c long, s long").distinct().join(pairs, ["c", "s"], "left_anti")
+    crossing = settle(crossing, "crossing")
     links = settle(links.union(verified(crossing, documents, words)), "links")
     roots = settle(components(links), "roots")
 
@@ -432,14 +437,7 @@ def _blocks(rows: DataFrame, large: DataFrame) -> DataFrame:
     rows = rows.join(large, "h", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("s"), "k").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     group = F.when(F.col("k") == 1, F.col("h")).otherwise(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")))
-    return rows.select(group.alias("g"), "s", "n", "pos", "root")
-
-
-def _suffix_filter(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Drops pairs whose shingles, counted by range of hash, cannot overlap enough (the suffix filter's bound)."""
-    out = pairs.join(sizes, "s").join(sizes.select(F.col("s").alias("c"), F.col("parts").alias("cparts")), "c")
-    most = F.aggregate(F.zip_with("parts", "cparts", lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x)
-    return out.filter((MORE + LESS) * most >= LESS * (F.col("n") + F.col("cn"))).drop("parts", "cparts")
+    return rows.withColumn("g", group).drop("h", "k", "own", "other")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
