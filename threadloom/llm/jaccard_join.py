@@ -216,28 +216,30 @@ def can_link(x: dict[str, np.ndarray], a, b) -> np.ndarray:
     return ok & (LESS * np.maximum(na, nb) <= MORE * np.minimum(na, nb)) & ((most >= need) | (np.maximum(na, nb) > 0xFFFF))
 
 
-def _groups(batches, key: str):
-    """The rows of each group, whole: a dict of arrays per group, in the order they come."""
-    held: list[pa.RecordBatch] = []
+def _groups(batches):
+    """(columns, bounds of the groups) of runs of whole groups, in the order their rows come.
 
-    def whole():
-        t = pa.Table.from_batches(held)
-        x = {c: t.column(c).to_numpy() for c in t.schema.names}
+    The rows of the last group are held until the next one begins.
+    """
+    held: dict[str, np.ndarray] | None = None
+
+    def ready(x, bounds):
+        x = dict(x)
         x["parts"] = np.stack([x.pop("p0"), x.pop("p1")], 1).view(np.uint16).reshape(-1, PARTS)
-        return x
+        return x, bounds
 
     for batch in batches:
-        g = batch.column(key).to_numpy()
-        if not len(g):
-            continue
-        cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and held[-1].column(key)[0].as_py() != g[a]:
-                yield whole()
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield whole()
+        x = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+        if held is not None:
+            x = {c: np.concatenate([held[c], v]) for c, v in x.items()}
+        starts = np.flatnonzero(x["g"][1:] != x["g"][:-1]) + 1
+        if len(starts):
+            cut = starts[-1]
+            yield ready({c: v[:cut] for c, v in x.items()}, np.concatenate([[0], starts]))
+            x = {c: v[cut:] for c, v in x.items()}
+        held = x
+    if held is not None and len(held["g"]):
+        yield ready(held, np.array([0, len(held["g"])]))
 
 
 def _pairs(c: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
@@ -246,29 +248,35 @@ def _pairs(c: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
 
 def _stars(batches):
     """Rows come by group, the sets that share most first: each row with up to CENTRES of them."""
-    for x in _groups(batches, "g"):
-        s = x["s"]
-        for k in range(min(CENTRES, len(s) - 1)):
-            others = np.arange(k + 1, len(s))
-            others = others[can_link(x, np.full(len(others), k), others)]
-            if len(others):
-                yield _pairs(np.full(len(others), s[k]), s[others])
+    for x, bounds in _groups(batches):
+        start = np.repeat(bounds[:-1], np.diff(bounds))
+        place = np.arange(len(start)) - start
+        for k in range(CENTRES):
+            row = np.flatnonzero(place > k)
+            centre = start[row] + k
+            ok = can_link(x, centre, row)
+            if ok.any():
+                yield _pairs(x["s"][centre[ok]], x["s"][row[ok]])
 
 
 def _crossing(batches):
-    """All pairs of different components in a group that the filters let through."""
-    for x in _groups(batches, "g"):
+    """All pairs of different components in a group that the filters let through.
+
+    Every pair of a group of at most CENTRES + 1 sets has been a candidate already.
+    """
+    for x, bounds in _groups(batches):
         s, n, root = x["s"], x["n"].astype(np.int64), x["root"]
-        if len(s) <= CENTRES + 1 or (root == root[0]).all():  # every pair of a small group was a candidate already
-            continue
-        for i in range(0, len(s), 64):
-            lo = int(np.searchsorted(n * MORE, LESS * n[i], side="left"))
-            a, b = np.arange(i, min(i + 64, len(s))), np.arange(lo, min(i + 64, len(s)))
-            p, q = np.nonzero((root[a, None] != root[None, b]) & (a[:, None] > b[None, :]))
-            p, q = a[p], b[q]
-            ok = can_link(x, p, q)
-            if ok.any():
-                yield _pairs(s[p[ok]], s[q[ok]])
+        mixed = np.minimum.reduceat(root, bounds[:-1]) != np.maximum.reduceat(root, bounds[:-1])
+        for g in np.flatnonzero(mixed & (np.diff(bounds) > CENTRES + 1)).tolist():
+            first, end = int(bounds[g]), int(bounds[g + 1])
+            for i in range(first, end, 64):
+                lo = first + int(np.searchsorted(n[first:end] * MORE, LESS * n[i], side="left"))
+                a, b = np.arange(i, min(i + 64, end)), np.arange(lo, min(i + 64, end))
+                p, q = np.nonzero((root[a, None] != root[None, b]) & (a[:, None] > b[None, :]))
+                p, q = a[p], b[q]
+                ok = can_link(x, p, q)
+                if ok.any():
+                    yield _pairs(s[p[ok]], s[q[ok]])
 
 
 class IdFilter:
