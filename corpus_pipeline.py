@@ -29,8 +29,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = train(docs.filter(~held).select("text", "lang", F.col("doc_id").cast("string").alias("key")))
-    known = predict(docs.select(*docs.columns), model, [c for c in docs.columns if c != "text"] + ["text"])
-    return known.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    known = predict(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), model, ["row"])
+    return known.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

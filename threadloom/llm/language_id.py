@@ -205,7 +205,7 @@ def _predict(shared):
         for batch in batches:
             for a, b, cps, bounds in textkernel.chunks(batch.column("text")):
                 n = b - a
-                columns = {c: batch.column(c).slice(a, n) for c in batch.schema.names}
+                columns = {c: batch.column(c).slice(a, n) for c in batch.schema.names}  # what is kept
                 if model is None:
                     yield pa.RecordBatch.from_pydict(columns | {"lang_pred": pa.array([UNKNOWN] * n), "score": pa.array(np.zeros(n))})
                     continue

@@ -174,17 +174,10 @@ def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
     return scored.filter(F.col("share") >= GENERALISE).select("entity", "term", (F.col("share") >= REMOVE).alias("removed"))
 
 
-def find_personal_data(documents: DataFrame, carry: list[str]) -> DataFrame:
-    """Columns ``carry`` of each row, base spans, and terms: those near an entity that disclose it.
-
-    base is array<struct<start, kind, end>> by start and kind, terms is
-    array<struct<start, end, removed>>; positions are code points, ends exclusive.
-    A null text counts as empty and has neither. Repeated rows are found alike and
-    each count as a document. Columns that are not carried are not read.
-    """
-    columns = list(dict.fromkeys(["text", *carry]))
-    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns)
-    found = documents.select(*columns).mapInArrow(_mentions, f"{schema}, {FOUND}").select(*carry, "row_no", "base", "near")
+def _located(documents: DataFrame, carry: list[str]) -> DataFrame:
+    """(row, base, terms): each row's columns ``carry`` as one, so that no name of theirs can clash."""
+    rows = documents.select("text", F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"))
+    found = rows.mapInArrow(_mentions, f"text string, row {rows.schema['row'].dataType.simpleString()}, {FOUND}").select("row", "row_no", "base", "near")
     found = settle(found, "found")
     flagged = disclosing_terms(found, documents.select("text"))
     near = found.filter(F.size("near") > 0)
@@ -193,13 +186,25 @@ def find_personal_data(documents: DataFrame, carry: list[str]) -> DataFrame:
     terms = each.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
     none = F.array().cast("array<struct<start: int, end: int, removed: boolean>>")
     with_terms = near.join(terms, "row_no", "left").withColumn("terms", F.coalesce("terms", none))
-    return with_terms.unionByName(found.filter(F.size("near") == 0).withColumn("terms", none)).select(*carry, "base", "terms")
+    return with_terms.unionByName(found.filter(F.size("near") == 0).withColumn("terms", none)).select("row", "base", "terms")
+
+
+def find_personal_data(documents: DataFrame, carry: list[str]) -> DataFrame:
+    """Columns ``carry`` of each row, base spans, and terms: those near an entity that disclose it.
+
+    base is array<struct<start, kind, end>> by start and kind, terms is
+    array<struct<start, end, removed>>; positions are code points, ends exclusive.
+    A null text counts as empty and has neither. Repeated rows are found alike and
+    each count as a document. Columns that are not carried are not read. An empty table
+    gives no rows.
+    """
+    return _located(documents, carry).select("row.*", "base", "terms")
 
 
 def _redact(batches):
     for batch in batches:
         out = []
-        for text, base, terms in zip(*(batch.column(c).to_pylist() for c in ("text", "base", "terms")), strict=True):
+        for text, base, terms in zip(batch.column("row").field("text").to_pylist(), batch.column("base").to_pylist(), batch.column("terms").to_pylist(), strict=True):
             if text is None or not (base or terms):
                 out.append(text)
                 continue
@@ -213,16 +218,15 @@ def _redact(batches):
                     parts += [text[at:s], mask]
                 at = max(at, e)
             out.append("".join([*parts, text[at:]]))
-        columns = {c: batch.column(c) for c in batch.schema.names if c not in ("base", "terms")}
-        yield pa.RecordBatch.from_pydict(columns | {"text": pa.array(out, pa.string())})
+        yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "clean": pa.array(out, pa.string())})
 
 
 def sanitise(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` with identifiers masked and disclosing terms removed or
     generalised in ``text``; all columns stay."""
-    found = find_personal_data(documents, documents.columns)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    return found.mapInArrow(_redact, schema).select(*documents.columns)
+    found = _located(documents, documents.columns)
+    clean = found.mapInArrow(_redact, f"row {found.schema['row'].dataType.simpleString()}, clean string")
+    return clean.select(*[F.col("clean").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in documents.columns])
 
 
 def _joined(spans: Column) -> Column:
