@@ -10,7 +10,7 @@ from threadloom.llm.bpe_codec import op6_bpe_codec
 from threadloom.llm.chat_format import OP9_SQL, op9_chat_format
 from threadloom.llm.cross_polytope import op10_cross_polytope
 from threadloom.llm.decontaminate import op4_decontaminate
-from threadloom.llm.jaccard_join import op5_jaccard_join
+from threadloom.llm.jaccard_join import OP5_SQL, op5_jaccard_join
 from threadloom.llm.language_id import op2_language_id
 from threadloom.llm.lm_scoring import op8_lm_scoring
 from threadloom.llm.pii import op3_pii
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_format": OP9_SQL}
+    return {"op5_jaccard_join": OP5_SQL, "op9_chat_format": OP9_SQL}
