@@ -97,7 +97,8 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max(F.coalesce("quality", F.lit(0))) == 1).alias("q"), (F.max(F.coalesce("toxic", F.lit(0))) == 1).alias("t"))
     good = good.filter("q and not t and doc_id is not null").select("doc_id", F.lit(True).alias("good"))
-    counts = summed_table(docs.join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good")), _counts, 2 * SIZE)
+    # A merge join at any size: what is shuffled then grows as the documents do.
+    counts = summed_table(docs.join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good")), _counts, 2 * SIZE)
     shared = spark.sparkContext.broadcast((Model(counts[:SIZE]), Model(counts[SIZE:])))
     return docs.mapInArrow(_scores(shared), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
