@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -157,6 +158,46 @@ def test_decontaminate(spark):
     assert decontaminate.find_leaks(frame(spark, docs), bench.filter("false")).isEmpty()
 
 
+def test_decontaminate_stretches():
+    rng = random.Random(8)
+    for _ in range(3000):
+        same = np.array([rng.random() < rng.choice((0.6, 0.8, 0.9)) for _ in range(rng.randint(1, 40))])
+        want = max((int(same[i:j].sum()), i - j) for i in range(len(same)) for j in range(i + 1, len(same) + 1) if 5 * same[i:j].sum() >= 4 * (j - i) or not same.any())
+        start, end, match = decontaminate.best_stretch(same)
+        assert (match, start - end) == want or not same.any() and match == 0
+
+
+def test_decontaminate_short_substituted(spark):
+    rng = random.Random(9)
+    items, docs, want = [], [], set()
+    for i in range(400):
+        item = [f"i{i}x{k}" for k in range(rng.randint(12, 24) if i else 16)]
+        copy = [*item]
+        for k in rng.sample(range(len(item)), rng.randint(0, 6)) if i else (2, 13):
+            copy[k] = "other"
+        same = [x == y for x, y in zip(item, copy, strict=True)]
+        if any(sum(same[a:b]) >= 12 and 5 * sum(same[a:b]) >= 4 * (b - a) for a in range(len(same)) for b in range(a + 12, len(same) + 1)):
+            want.add((i, i))
+        items.append((i, " ".join(item)))
+        docs.append((i, "before it " + " ".join(copy) + " after it"))
+    tail = [f"y{k}" for k in range(92)]
+    items.append((400, " ".join(tail)))
+    docs.append((400, " ".join(w if k < 12 or k % 4 else "other" for k, w in enumerate(tail))))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame(spark, docs), bench).collect()}
+    assert (0, 0) in want and got == want | {(400, 400)}
+
+
+def test_decontaminate_masks_meet_every_leak():
+    # A leak of 24 matches or more holds one of fewer: one of the parts before and after its twelfth match.
+    left = np.array([(1 << m + k) - 1 - sum(1 << i for i in c) for m in range(12, 24) for k in range(m // 4 + 1) for c in itertools.combinations(range(1, m + k - 1), k)])
+    for mask in decontaminate.SEED_MASKS:
+        bits = sum(1 << i for i, c in enumerate(mask) if c == "1")
+        for s in range(29 - len(mask)):
+            left = left[left & bits << s != bits << s]
+    assert not len(left)
+
+
 def test_suffix_dedup(spark):
     rng = random.Random(6)
     words = lambda n: [f"v{rng.randrange(4000)}" for _ in range(n)]

@@ -2,10 +2,11 @@
 
 Tokens are runs of letters and digits in lower case. A seed is the hash of the
 tokens that a fixed mask keeps of a window of tokens, so a substitution at an ignored
-position leaves it as it is. Where a document's seed equals one of a benchmark item, the
-two are laid side by side at that offset, and the best stretch of the overlap is
-measured: it is a leak if at least ``MIN_MATCH`` tokens match (all of a shorter item)
-and they are at least ``IDENTITY`` of the stretch.
+position leaves it as it is. The masks together meet every stretch that can be a leak
+(tested). Where a document's seed equals one of a benchmark item, the two are laid side
+by side at that offset; of the overlap's stretches with at least ``IDENTITY`` of their
+tokens equal the one with most equal tokens is taken, and it is a leak if at least
+``MIN_MATCH`` are (all of a shorter item).
 
 The benchmark is joined from memory in slices of at most ``SLICE_TOKENS`` tokens; a
 larger one takes a pass over the documents for each slice.
@@ -24,13 +25,14 @@ from threadloom.llm import textkernel
 from threadloom.llm.textkernel import LETTER, NUMBER
 
 #: 1 keeps a token, 0 ignores it (fixed values).
-SEED_MASKS = ("11101011", "110100111", "1100110101")
+SEED_MASKS = ("11101011", "110100111", "1100110101", "10100001111")
 MIN_MATCH = 12
 IDENTITY = 0.8
 #: Shorter items match far too much to say anything; they are left out.
 MIN_ITEM = 5
 SLICE_TOKENS = 2_000_000
-MISMATCH = -2.0
+#: A match's and a mismatch's share of a sum that is at least 0 from IDENTITY on.
+MATCHED, OTHERWISE = 100 - round(100 * IDENTITY), -round(100 * IDENTITY)
 _ROLL = np.array([pow(0x9FB21C651E98DF25, k + 1, 1 << 64) for k in range(64)], np.uint64)
 
 
@@ -57,6 +59,21 @@ def seeds(h: np.ndarray, mask: str) -> np.ndarray:
     return textkernel.mix(out)
 
 
+def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
+    """(start, end, matches) of the stretch with most matches of all whose identity is at least IDENTITY; of several the shortest."""
+    at = np.flatnonzero(same)
+    if not len(at):
+        return 0, 0, 0
+    # Stretches go from match to match: up to each match with it, and without it.
+    total = np.cumsum(np.where(same, MATCHED, OTHERWISE))[at]
+    # For each first match, the last one from which the sum is still not negative.
+    high = np.maximum.accumulate(total[::-1])
+    last = len(at) - 1 - np.searchsorted(high, total - MATCHED)
+    n = last - np.arange(len(at)) + 1
+    k = int(np.lexsort((at[last] - at, -n))[0])
+    return int(at[k]), int(at[last[k]]) + 1, int(n[k])
+
+
 class Index:
     """Seeds of some benchmark items, sorted, with the item and offset of each."""
 
@@ -119,12 +136,8 @@ class Index:
             if y <= x:
                 continue
             same = h[a + diagonal + x : a + diagonal + y] == own[x:y]
-            total = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, MISMATCH))])
-            low = np.minimum.accumulate(total)
-            end = int(np.argmax(total - low))
-            start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-            match = int(same[start:end].sum())
-            if match >= min(MIN_MATCH, len(own)) and match >= IDENTITY * (end - start):
+            start, end, match = best_stretch(same)
+            if match >= min(MIN_MATCH, len(own)):
                 i, j = a + diagonal + x + start, a + diagonal + x + end - 1
                 got = (match, int(first[i] - bounds[row]), int(last[j] - bounds[row]), match / (end - start))
                 if got > best.get((row, item), (0, 0, 0, 0.0)):
