@@ -225,6 +225,35 @@ def test_lm_scoring(spark):
     assert len(got) == 43
 
 
+def test_lm_scoring_counts_every_ngram(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"W{rng.randrange(10 ** rng.randint(1, 8))}" for _ in range(rng.randint(0, 900)))) for i in range(300)]
+    rows += [(None, rows[7][1]), (7, rows[7][1]), (900, None)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(0, 300, 3)], "doc_id long, quality int, toxic int")
+    texts = [((t or "").lower().split(), i is not None and i < 300 and i % 6 == 0) for i, t in rows]
+    models = []
+    for want in (True, False):
+        words, before, pairs = collections.Counter(), collections.Counter(), collections.Counter()
+        for w, good in texts:
+            if good or not want:
+                words.update(w)
+                before.update(["", *w][: len(w)])
+                pairs.update(zip(["", *w], w))  # noqa: B905
+        models.append((words, before, pairs))
+    vocabulary = len(models[1][0])
+    assert vocabulary > 1 << 16
+
+    def loss(m, w):
+        words, before, pairs = m
+        n = words.total()
+        return -np.mean([np.log(0.6 * pairs[a, b] / max(before[a], 1) + 0.35 * words[b] / n + 0.05 / vocabulary) for a, b in zip(["", *w], w)])  # noqa: B905
+
+    want = sorted((str(i), len(w), *((round(loss(m, w), 9) for m in models) if w else (None, None))) for (i, _), (w, _) in zip(rows, texts, strict=True))
+    for chars in (lm_scoring.BUCKET_CHARS, 100_000):
+        got = lm_scoring.score_documents(frame(spark, rows).repartition(3), labels, chars).collect()
+        assert sorted((str(r.doc_id), r.n_tokens, *(x if x is None else round(x, 9) for x in (r.target_loss, r.background_loss))) for r in got) == want
+
+
 def test_chat_calls(spark):
     rows = [
         (1, 0, "system", "be kind"),

@@ -2,90 +2,180 @@
 
 The target model is counted over documents labelled good (quality 1, not toxic), the
 background model over all documents. Both are bigram models with the same
-vocabulary (words, A-Z folded, hashed to ``VOCABULARY`` ids), the same bigram bins and
-the same interpolation, so that their sizes cancel. A document's score is the mean over
-its words of the target's loss less the background's: the lower, the more it is like
-the target.
+vocabulary (all distinct words, A-Z folded) and the same interpolation, so that their
+sizes cancel. A document's score is the mean over its words of the target's loss less
+the background's: the lower, the more it is like the target.
+
+Words and bigrams are counted by 64-bit hashes, none left out. Texts are kept
+in blocks. Each block sends its distinct hashes, with its own counts, to buckets of
+hashes; a bucket adds them up and sends every block the sums in the order of what
+came; the block's texts meet them and are scored. Hashes are dealt evenly and a block
+sends each once, so no common word or bigram makes a task larger.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import textkernel
-from threadloom.llm.tables import summed_table
+from threadloom.session import settle
 
-VOCABULARY = 1 << 16
-BIGRAMS = 1 << 20
+#: Characters of the corpus for each bucket of hashes.
+BUCKET_CHARS = 16_000_000
+#: Up to so many documents their labels are broadcast, at a bit each.
+LABELS_BROADCAST = 1 << 28
 #: Shares of the bigram and unigram estimates; the rest is uniform.
 SHARES = (0.6, 0.35)
+#: What stands before a text's first word, and what tells words from bigrams (fixed values).
+START, WORD = np.uint64(0x51AB2E7F09C4D683), np.uint64(0x7C1E5A930DB2F846)
+#: How hard texts are compressed.
+LEVEL = 9
 
+BLOCK = "block long, ids array<long>, lengths binary, texts binary, size long, n_chars long"
 
-def _ids(cps: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word id, id of the word before, bigram bin, row) of every word; a text starts after id VOCABULARY."""
-    h, _, _, rb = textkernel.word_hashes(cps, bounds)
-    word = (h & np.uint64(VOCABULARY - 1)).astype(np.int64)
-    before = np.concatenate([[VOCABULARY], word[:-1]]) if len(word) else word
-    before[rb[:-1][rb[:-1] < rb[1:]]] = VOCABULARY
-    pair = textkernel.mix(before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64))
-    return word, before, (pair & np.uint64(BIGRAMS - 1)).astype(np.int64), np.repeat(np.arange(len(rb) - 1), np.diff(rb))
 
+def _blocks(batches):
+    """The texts in blocks, as UTF-8 and compressed."""
+    block = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        for a, b, cps, bounds in textkernel.chunks(batch.column("text")):
+            raw = textkernel.to_text(cps).encode()
+            ids = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column("doc_id").slice(a, b - a))
+            lengths, texts = np.diff(bounds).astype(np.int64).tobytes(), pa.Codec("zstd", LEVEL).compress(raw, asbytes=True)
+            columns = {"block": [block], "ids": ids, "lengths": [lengths], "texts": [texts], "size": [len(raw)], "n_chars": [len(cps)]}
+            yield pa.RecordBatch.from_pydict(columns)
+            block += 1
 
-#: Layout of one model's counts: words, words followed by another (with the start), bigrams.
-PARTS = np.cumsum([0, VOCABULARY, VOCABULARY + 1, BIGRAMS])
-SIZE = int(PARTS[-1])
 
+def _ngrams(lengths: bytes, texts: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]:
+    """(distinct hashes, the index of each word's, of what stands before it and of each bigram, that of the start, row of every word, rows' bounds)."""
+    bounds = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, np.int64))])
+    cps = textkernel.code_points(pa.decompress(texts, size, "zstd", asbytes=True).decode())
+    word, _, _, rb = textkernel.word_hashes(cps, bounds)
+    n, first = len(word), rb[:-1][rb[:-1] < rb[1:]]
+    before = np.concatenate([[START], word])[:n]
+    before[first] = START
+    pair = textkernel.mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
+    keys, index = np.unique(np.concatenate([textkernel.mix(np.append(word, START) ^ WORD), pair]), return_inverse=True)
+    at = np.concatenate([[0], index[:n]])[:n]
+    at[first] = index[n]
+    return keys, index[:n], at, index[n + 1 :], int(index[n]), np.repeat(np.arange(len(rb) - 1), np.diff(rb)), rb
 
-def _counts(batches):
-    total = np.zeros(2 * SIZE, np.int64)
-    for batch in batches:
-        good = batch.column("good").to_numpy(zero_copy_only=False)
-        for a, b, cps, bounds in textkernel.chunks(batch.column("text")):
-            word, before, pair, row = _ids(cps, bounds)
-            at = np.concatenate([word, before + PARTS[1], pair + PARTS[2]])
-            total[:SIZE] += np.bincount(at, minlength=SIZE)
-            own = good[a:b][row]
-            total[SIZE:] += np.bincount(at[np.tile(own, 3)], minlength=SIZE)
-    return total
+
+def _packed(values: np.ndarray) -> bytes:
+    """The width of the numbers, then their bytes by place (all first bytes, all second bytes and so on), compressed."""
+    high = int(values.max(initial=0))
+    kind = np.dtype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if high <= np.iinfo(t).max))
+    places = values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T
+    return bytes([kind.itemsize]) + pa.compress(places.tobytes(), "zstd", asbytes=True)
 
 
-class Model:
-    def __init__(self, counts: np.ndarray):
-        words, contexts, pairs = (counts[a:b].astype(np.float64) for a, b in zip(PARTS[:-1], PARTS[1:], strict=True))
-        rest = 1 - sum(SHARES)
-        self.unigram = (SHARES[1] * words / max(words.sum(), 1) + rest / VOCABULARY).astype(np.float32)
-        self.context = (SHARES[0] / np.maximum(contexts, 1)).astype(np.float32)
-        self.pairs = pairs.astype(np.float32)
+def _unpacked(blob: bytes, n: int) -> np.ndarray:
+    width = blob[0]
+    raw = np.frombuffer(pa.decompress(memoryview(blob)[1:], n * width, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, n).T).view(f"u{width}").reshape(n)
 
-    def losses(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        bigram = np.minimum(self.pairs[pair] * self.context[before], SHARES[0])
-        return -np.log(bigram + self.unigram[word]).astype(np.float64)
 
+#: Hashes go as steps from one to the next; ``words`` marks those that are words, by a bit each.
+#: A word is a context as often as it stands anywhere, less how often it ends a text; the start counts as a word that ends none.
+COUNTS = ("background", "target", "background_ends", "target_ends")
+SENT = "bucket long, block long, n long, keys binary, words binary, " + ", ".join(f"{c} binary" for c in COUNTS)
+
+
+def _send(buckets: int):
+    """A row for each block and bucket, also where it has nothing to send."""
 
-def _scores(shared):
     def run(batches):
-        background, target = shared.value
         for batch in batches:
-            for a, b, cps, bounds in textkernel.chunks(batch.column("text")):
-                n = b - a
-                word, before, pair, row = _ids(cps, bounds)
-                count = np.bincount(row, minlength=n)
-                none = count == 0
-                t, g = (np.bincount(row, weights=m.losses(word, before, pair), minlength=n) / np.maximum(count, 1) for m in (target, background))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": batch.column("doc_id").slice(a, n), "n_tokens": pa.array(count.astype(np.int64)),
-                        "target_loss": pa.array(t, mask=none), "background_loss": pa.array(g, mask=none), "score": pa.array(t - g, mask=none),
-                    }
-                )
+            for r in batch.to_pylist():
+                keys, word, _, pair, start, row, rb = _ngrams(r["lengths"], r["texts"], r["size"])
+                good = np.unpackbits(np.frombuffer(r["good"] or b"", np.uint8), count=len(r["ids"])).astype(bool)
+                counts = []
+                for rows in (np.ones(len(good), bool), good):
+                    rows = rows & (rb[:-1] < rb[1:])
+                    own = rows[row]
+                    counts.append(np.bincount(np.concatenate([word[own], pair[own], np.full(rows.sum(), start)]), minlength=len(keys)))
+                    counts.append(np.bincount(word[rb[1:][rows] - 1], minlength=len(keys)))
+                counts = dict(zip(COUNTS, counts[::2] + counts[1::2], strict=True))
+                is_word = np.zeros(len(keys), bool)
+                is_word[word] = True
+                bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                cut = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
+                for k in range(0, buckets, 1000):
+                    spans = list(zip(cut[k : k + 1000], cut[k + 1 : k + 1001], strict=False))
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "bucket": np.arange(k, k + len(spans)), "block": np.full(len(spans), r["block"]), "n": [y - x for x, y in spans], "keys": [_packed(np.diff(keys[x:y], prepend=np.uint64(0))) for x, y in spans],
+                            "words": [np.packbits(is_word[x:y]).tobytes() for x, y in spans],
+                        }
+                        | {name: [_packed(c[x:y]) for x, y in spans] for name, c in counts.items()}
+                    )
 
     return run
 
 
-def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
+#: Beside the sums, the bucket's own distinct words and words in all, of background and target.
+SUMS = "block long, bucket long, n long, " + ", ".join(f"{c} binary" for c in COUNTS) + ", vocabulary long, n_background long, n_target long"
+
+
+def _add(table: pa.Table) -> pa.Table:
+    """Sums of one bucket over all blocks, for each block in the order of its hashes."""
+    n = table.column("n").to_numpy()
+    keys = np.concatenate([np.cumsum(_unpacked(x, k), dtype=np.uint64) for x, k in zip(table.column("keys").to_pylist(), n.tolist(), strict=True)])
+    word = [np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(table.column("words").to_pylist(), n.tolist(), strict=True)]
+    distinct, first, index = np.unique(keys, return_index=True, return_inverse=True)
+    is_word = np.concatenate(word).astype(bool)[first]
+    out, totals = {}, {}
+    cut = np.concatenate([[0], np.cumsum(n)]).tolist()
+    for name in COUNTS:
+        counts = np.concatenate([_unpacked(x, k) for x, k in zip(table.column(name).to_pylist(), n.tolist(), strict=True)])
+        # Weights are doubles, exact up to 2**53.
+        total = np.bincount(index, weights=counts, minlength=len(distinct)).astype(np.int64)
+        if not name.endswith("_ends"):
+            totals[f"n_{name}"] = np.full(len(n), total[is_word].sum())
+        each = total[index]
+        out[name] = [_packed(each[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "n": table.column("n")} | out | {"vocabulary": np.full(len(n), is_word.sum())} | totals)
+
+
+SCORE = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+
+
+def _score(texts: pa.Table, sums: pa.Table) -> pa.Table:
+    r = texts.to_pylist()[0]
+    keys, word, before, pair, _, row, rb = _ngrams(r["lengths"], r["texts"], r["size"])
+    sums = sums.sort_by("bucket")
+    size = sums.column("n").to_pylist()
+    vocabulary = sum(sums.column("vocabulary").to_pylist())
+    rows, count = len(rb) - 1, np.diff(rb)
+    losses = []
+    for name in ("target", "background"):
+        counts, ends = (np.concatenate([_unpacked(x, k) for x, k in zip(sums.column(c).to_pylist(), size, strict=True)]).astype(np.int64) for c in (name, f"{name}_ends"))
+        assert len(counts) == len(keys)
+        words, contexts, pairs = counts[word], (counts - ends)[before], counts[pair]
+        unigram = SHARES[1] * words / max(sum(sums.column(f"n_{name}").to_pylist()), 1) + (1 - sum(SHARES)) / max(vocabulary, 1)
+        loss = -np.log(SHARES[0] * pairs / np.maximum(contexts, 1) + unigram)
+        losses.append(np.bincount(row, weights=loss, minlength=rows) / np.maximum(count, 1))
+    t, g = losses
+    none = count == 0
+    return pa.table({"doc_id": pa.array(r["ids"], pa.int64()), "n_tokens": count.astype(np.int64), "target_loss": pa.array(t, mask=none), "background_loss": pa.array(g, mask=none), "score": pa.array(t - g, mask=none)})
+
+
+def _bits(batches):
+    for batch in batches:
+        out = []
+        for at in batch.column("at").to_pylist():
+            bits = np.zeros(max(at) + 1, bool)
+            bits[at] = True
+            out.append(np.packbits(bits).tobytes())
+        yield pa.RecordBatch.from_pydict({"block": batch.column("block"), "good": pa.array(out, pa.binary())})
+
+
+def score_documents(documents: DataFrame, labels: DataFrame, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score per document row.
 
     A document is good if any of its labels has quality 1 and none is toxic. Null or
@@ -93,14 +183,19 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     A null doc_id has no label. Repeated rows each count and keep a row. Without good
     documents the target model is uniform. Other columns are not read.
     """
-    spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max(F.coalesce("quality", F.lit(0))) == 1).alias("q"), (F.max(F.coalesce("toxic", F.lit(0))) == 1).alias("t"))
-    good = good.filter("q and not t and doc_id is not null").select("doc_id", F.lit(True).alias("good"))
+    good = good.filter("q and not t and doc_id is not null").select("doc_id")
+    blocks = settle(docs.mapInArrow(_blocks, BLOCK), "blocks")
+    n_chars, n_docs = blocks.agg(F.sum("n_chars"), F.sum(F.size("ids"))).first()
+    buckets = max(1, -(-(n_chars or 0) // bucket_chars))
     # A merge join at any size: what is shuffled then grows as the documents do.
-    counts = summed_table(docs.join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good")), _counts, 2 * SIZE)
-    shared = spark.sparkContext.broadcast((Model(counts[:SIZE]), Model(counts[SIZE:])))
-    return docs.mapInArrow(_scores(shared), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    at = blocks.select("block", F.posexplode("ids").alias("at", "doc_id")).join(good.hint("merge"), "doc_id")
+    flags = at.groupBy("block").agg(F.collect_list("at").alias("at")).mapInArrow(_bits, "block long, good binary")
+    flagged = blocks.select("block", "ids", "lengths", "texts", "size").join(flags.hint("broadcast" if (n_docs or 0) <= LABELS_BROADCAST else "merge"), "block", "left")
+    sums = flagged.mapInArrow(_send(buckets), SENT).groupBy("bucket").applyInArrow(_add, SUMS)
+    texts = blocks.select("block", "ids", "lengths", "texts", "size")
+    return texts.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(_score, SCORE)
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
