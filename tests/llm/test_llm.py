@@ -143,6 +143,15 @@ def test_pii_terms(spark):
     assert "zebulon" not in clean[0] and "<EMAIL>" in clean[0] and clean[20] == rows[20][1] and clean[70] is None
 
 
+def test_pii_terms_of_one_document(spark):
+    text = "zebulon has lived a long way off from here and goes on with the end of it q@x.org"
+    rows = [(0, text), (1, "zebulon goes on with it")] + [(i, "the end of it goes on with a long way off from here and has lived") for i in range(2, 60)]
+    got = {r.doc_id: {rows[r.doc_id][1][x.start : x.end] for x in r.terms} for r in pii.find_personal_data(frame(spark, rows), ["doc_id"]).collect()}
+    assert got == {0: {"zebulon"}, 1: {"zebulon"}} | {i: set() for i in range(2, 60)}
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, rows)).collect()}
+    assert clean[0] == text.replace("zebulon", "<WORD>").replace("q@x.org", "<EMAIL>") and clean[1] == "<WORD> goes on with it" and clean[9] == rows[9][1]
+
+
 def test_decontaminate(spark):
     rng = random.Random(5)
     item = [f"t{rng.randrange(500)}" for _ in range(30)]

@@ -1,12 +1,12 @@
-"""Personal data: identifiers by pattern, and the terms around them that give them away.
+"""Personal data: identifiers by pattern, and the terms of their documents that give them away.
 
-Every e-mail, address, card or phone number is a protected entity. Words that
-stand near an entity are candidates; how strongly one reveals the entity is their
-pointwise mutual information over the corpus, divided by the entity's own
+Every e-mail, address, card or phone number is a protected entity. All words of the
+documents that hold an entity are candidates; how strongly one reveals the entity is
+their pointwise mutual information over the corpus, divided by the entity's own
 information: PMI(c, t) / IC(c) with PMI = log2(N n_ct / (n_c n_t)) and
-IC = log2(N / n_c), all counts of documents (n_ct: t stands near c; n_t: t stands
+IC = log2(N / n_c), all counts of documents (n_ct: t stands with c; n_t: t stands
 anywhere). From ``REMOVE`` on a term is removed, from ``GENERALISE`` on replaced by
-its class. Pairs seen in fewer than ``SUPPORT`` documents say nothing.
+its class, wherever it stands: it tells of the entity also where that is not named.
 """
 
 from __future__ import annotations
@@ -26,9 +26,7 @@ from threadloom.llm.textkernel import LETTER
 from threadloom.session import settle
 
 KINDS = ("email", "ip", "card", "phone", "term")
-NEAR_WORDS = 5
 MIN_LETTERS = 3
-SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
 MASKS = ("<EMAIL>", "<IP>", "<CARD>", "<PHONE>")
 
@@ -99,38 +97,67 @@ def _terms(cps: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 BASE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
-FOUND = "row_no long, base array<struct<start: int, kind: int, end: int>>, near array<struct<entity: long, term: long, start: int, end: int>>"
+NEAR = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+IDS = pa.list_(pa.int64())
+
+
+def _outside(own: list[tuple[int, int, int]], first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which terms of a row lie outside its identifiers: letters inside one are part of it."""
+    ok = np.ones(len(first), bool)
+    for s, _, e in own:
+        ok[int(np.searchsorted(last, s, side="right")) : int(np.searchsorted(first, e))] = False
+    return ok
 
 
 def _mentions(batches):
-    """Each row with its base spans and the terms near them."""
+    """Each row with its base spans, the entities they are and, if there are any, its distinct terms."""
     number = TaskContext.get().partitionId() << 40
     for batch in batches:
         for a, b, cps, bounds in textkernel.chunks(batch.column("text")):
             flat = textkernel.to_text(cps)
             spans = [base_spans(flat[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            near: list[list[dict]] = [[] for _ in spans]
+            entities: list[list[int]] = [[] for _ in spans]
+            terms: list[list[int]] = [[] for _ in spans]
             if any(spans):
                 first, last, term = _terms(cps, bounds)
                 cut = np.searchsorted(first, bounds)
                 for r, own in enumerate(spans):
-                    lo, hi, at = int(cut[r]), int(cut[r + 1]), int(bounds[r])
-                    # Letters inside an identifier are part of it, not of its surroundings.
-                    inside = {k for s, _, e in own for k in range(int(np.searchsorted(last, s + at, side="right")), int(np.searchsorted(first, e + at)))}
-                    for s, kind, e in own:
-                        id_ = entity(kind, flat[s + at : e + at])
-                        i, j = int(np.searchsorted(last, s + at, side="right")), int(np.searchsorted(first, e + at))
-                        for k in (*range(max(lo, i - NEAR_WORDS), min(i, hi)), *range(max(lo, j), min(hi, j + NEAR_WORDS))):
-                            if k not in inside:
-                                near[r].append({"entity": id_, "term": int(term[k]), "start": int(first[k]) - at, "end": int(last[k]) - at})
+                    if own:
+                        lo, hi, at = int(cut[r]), int(cut[r + 1]), int(bounds[r])
+                        entities[r] = sorted({entity(kind, flat[s + at : e + at]) for s, kind, e in own})
+                        terms[r] = np.unique(term[lo:hi][_outside(own, first[lo:hi] - at, last[lo:hi] - at)]).tolist()
             n = b - a
             columns = {c: batch.column(c).slice(a, n) for c in batch.schema.names}
             base = [[{"start": s, "kind": k, "end": e} for s, k, e in own] for own in spans]
-            yield pa.RecordBatch.from_pydict(columns | {"row_no": pa.array(np.arange(n) + number + a), "base": pa.array(base, BASE), "near": pa.array(near, NEAR)})
+            found = {"row_no": pa.array(np.arange(n) + number + a), "base": pa.array(base, BASE), "entities": pa.array(entities, IDS), "terms": pa.array(terms, IDS)}
+            yield pa.RecordBatch.from_pydict(columns | found)
         number += batch.num_rows
 
 
+def _candidates(wanted):
+    """Each row with those of its terms that may be disclosing ones."""
+
+    def run(batches):
+        keep = IdFilter(wanted.value)
+        for batch in batches:
+            for a, b, cps, bounds in textkernel.chunks(batch.column("text")):
+                first, last, term = _terms(cps, bounds)
+                ok = keep.has(term)
+                first, last, term = first[ok], last[ok], term[ok]
+                cut = np.searchsorted(first, bounds)
+                base = batch.column("base").slice(a, b - a)
+                near = []
+                for r, own in enumerate(base.to_pylist()):
+                    lo, hi, at = int(cut[r]), int(cut[r + 1]), int(bounds[r])
+                    f, l, t = first[lo:hi] - at, last[lo:hi] - at, term[lo:hi]
+                    out = _outside([(x["start"], x["kind"], x["end"]) for x in own], f, l)
+                    near.append([{"term": x, "start": y, "end": z} for x, y, z in zip(t[out].tolist(), f[out].tolist(), l[out].tolist(), strict=True)])
+                columns = {c: batch.column(c).slice(a, b - a) for c in ("row", "row_no", "base")}
+                yield pa.RecordBatch.from_pydict(columns | {"near": pa.array(near, NEAR)})
+
+    return run
+
+
 def _term_counts(wanted):
     """In how many of a task's documents each wanted term stands."""
 
@@ -159,38 +186,51 @@ def _counted(got: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """(entity, term, removed) of the pairs whose terms disclose their entity enough."""
+    """(term, removed) of the terms that disclose some entity enough."""
     spark = found.sparkSession
-    held = found.filter(F.size("near") > 0)
-    pair = F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))
-    pairs = held.select(F.explode(pair).alias("x")).groupBy("x.entity", "x.term").agg(F.count("*").alias("n_ct")).filter(F.col("n_ct") >= SUPPORT)
-    owns = held.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_c"))
-    candidates = settle(pairs.join(owns, "entity"), "candidates")
-    wanted = spark.sparkContext.broadcast(id_filter(candidates.select(F.col("term").alias("id")).distinct()).bits)
-    n_t = texts.mapInArrow(_term_counts(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    held = found.filter(F.size("entities") > 0)
     total = float(texts.count())
+    owns = held.select("row_no", F.explode("entities").alias("entity"))
+    n_c = owns.groupBy("entity").agg(F.count("*").alias("n_c"))
+    terms = held.select("row_no", F.explode("terms").alias("term"))
+    wanted = spark.sparkContext.broadcast(id_filter(terms.select(F.col("term").alias("id")).distinct()).bits)
+    n_t = settle(texts.mapInArrow(_term_counts(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t")), "terms")
+
+    # PMI is log2(N / max(n_c, n_t)) at most, so a more frequent term cannot reach GENERALISE, whatever n_ct.
+    def most(n):
+        return F.lit(1.0001) * F.pow(F.lit(total), F.lit(1 - GENERALISE)) * F.pow(n, F.lit(GENERALISE))
+
+    owns = owns.join(n_c, "entity")
+    bound = owns.groupBy("row_no").agg(most(F.max("n_c")).alias("most"))
+    rare = terms.join(n_t, "term").join(bound, "row_no").filter(F.col("n_t") <= F.col("most")).select("row_no", "term", "n_t")
+    pairs = rare.join(owns, "row_no").filter(F.col("n_t") <= most(F.col("n_c")))
+    pairs = pairs.groupBy("entity", "term", "n_c", "n_t").agg(F.count("*").alias("n_ct"))
     pmi = F.log2(F.lit(total) * F.col("n_ct") / (F.col("n_c").cast("double") * F.col("n_t")))
-    scored = candidates.join(n_t, "term").withColumn("share", F.try_divide(pmi, F.log2(F.lit(total) / F.col("n_c"))))
-    return scored.filter(F.col("share") >= GENERALISE).select("entity", "term", (F.col("share") >= REMOVE).alias("removed"))
+    scored = pairs.withColumn("share", F.try_divide(pmi, F.log2(F.lit(total) / F.col("n_c")))).filter(F.col("share") >= GENERALISE)
+    return scored.groupBy("term").agg((F.max("share") >= REMOVE).alias("removed"))
 
 
 def _located(documents: DataFrame, carry: list[str]) -> DataFrame:
     """(row, base, terms): each row's columns ``carry`` as one, so that no name of theirs can clash."""
     rows = documents.select("text", F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"))
-    found = rows.mapInArrow(_mentions, f"text string, row {rows.schema['row'].dataType.simpleString()}, {FOUND}").select("row", "row_no", "base", "near")
-    found = settle(found, "found")
-    flagged = disclosing_terms(found, documents.select("text"))
-    near = found.filter(F.size("near") > 0)
-    each = near.select("row_no", F.explode("near").alias("x")).select("row_no", "x.*").join(flagged, ["entity", "term"])
-    each = each.groupBy("row_no", "start", "end").agg(F.max("removed").alias("removed"))
+    row = rows.schema["row"].dataType.simpleString()
+    found = rows.mapInArrow(_mentions, f"text string, row {row}, row_no long, base array<struct<start: int, kind: int, end: int>>, entities array<long>, terms array<long>")
+    # The text is kept for the terms' places, once.
+    found = settle(found.drop("text") if "text" in carry else found, "found")
+    text = found.select((F.col("row.text") if "text" in carry else F.col("text")).alias("text"), "row", "row_no", "base")
+    flagged = settle(disclosing_terms(found, documents.select("text")), "disclosing")
+    wanted = documents.sparkSession.sparkContext.broadcast(id_filter(flagged.select(F.col("term").alias("id"))).bits)
+    tagged = text.mapInArrow(_candidates(wanted), f"row {row}, row_no long, base array<struct<start: int, kind: int, end: int>>, near array<struct<term: long, start: int, end: int>>")
+    near = tagged.filter(F.size("near") > 0)
+    each = near.select("row_no", F.explode("near").alias("x")).select("row_no", "x.*").join(flagged, "term")
     terms = each.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
     none = F.array().cast("array<struct<start: int, end: int, removed: boolean>>")
     with_terms = near.join(terms, "row_no", "left").withColumn("terms", F.coalesce("terms", none))
-    return with_terms.unionByName(found.filter(F.size("near") == 0).withColumn("terms", none)).select("row", "base", "terms")
+    return with_terms.unionByName(tagged.filter(F.size("near") == 0).withColumn("terms", none)).select("row", "base", "terms")
 
 
 def find_personal_data(documents: DataFrame, carry: list[str]) -> DataFrame:
-    """Columns ``carry`` of each row, base spans, and terms: those near an entity that disclose it.
+    """Columns ``carry`` of each row, base spans, and terms: those that disclose an entity, wherever they stand.
 
     base is array<struct<start, kind, end>> by start and kind, terms is
     array<struct<start, end, removed>>; positions are code points, ends exclusive.
