@@ -225,6 +225,20 @@ def test_suffix_dedup(spark):
     assert got == dict(want)
 
 
+def test_suffix_dedup_edited_copies(spark):
+    rng = random.Random(12)
+    first = [f"v{rng.randrange(4000)}" for _ in range(300)]
+    docs = [[w if rng.random() > 0.04 else f"e{rng.randrange(10**6)}" for w in first] for _ in range(200)]
+    windows = collections.Counter(tuple(w[p : p + 50]) for w in docs for p in range(len(w) - 49))
+    want = {}
+    for i, w in enumerate(docs):
+        at = {k for p in range(len(w) - 49) if windows[tuple(w[p : p + 50])] > 1 for k in range(p, p + 50)}
+        if at:
+            want[i] = at
+    got = {r.doc_id: {k for x in r.spans for k in range(x.start, x.end)} for r in suffix_dedup.repeated_passages(frame(spark, [*enumerate(map(" ".join, docs))])).collect()}
+    assert got == want
+
+
 def test_lm_scoring(spark):
     good, bad = "the quiet river runs on", "buy cheap now click here"
     rows = [(i, good if i % 2 else bad) for i in range(40)] + [(100, None), (101, " "), (None, good)]

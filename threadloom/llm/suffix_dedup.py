@@ -4,12 +4,12 @@ Of all suffixes of a text (in words, A-Z folded) only those at minimisers stay:
 positions whose hash of ``GRAM`` words is the least in some window of ``WINDOW``
 positions. Equal passages choose equal positions, and every passage of ``LEAST`` words
 has one in its first ``WINDOW``. Suffixes whose first ``KEY`` words stand nowhere else
-go; the others are sorted, each is compared with its neighbours, and the matches are
-extended to the left and right. As the neighbour that goes furthest to the right need
-not go furthest to the left, they are sorted a second time by what precedes them.
+go. Around each of the others every stretch of ``LEAST`` words that holds its key is
+counted by its hash, so all repeated stretches are found, whatever else shares their
+key; those that stand twice or more are the passages.
 
-Each comparison is between neighbours only, so a passage that stands a million times
-costs a million comparisons, and no group of suffixes is ever gathered.
+Counts are combined before they are dealt out, and no group of equal stretches is ever
+gathered.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ from threadloom.session import settle
 
 LEAST = 50
 GRAM, WINDOW, KEY = 8, 32, 16
-#: Words kept on either side of a suffix's key: enough to reach LEAST from one side.
-REACH = LEAST - KEY
 
 
 def minimisers(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -75,63 +73,72 @@ def _keys(batches):
             yield pa.RecordBatch.from_pydict({"id": pa.array(key)})
 
 
-SUFFIX = "key long, row_no long, doc_id long, pos int, before binary, after binary"
+def _stretches(texts: pa.Array, keep: IdFilter):
+    """Per chunk: (first row, row bounds, start, row and hash of each stretch of LEAST words that holds a wanted key)."""
+    for a, _, rb, h, at, row, key in _anchors(texts):
+        ok = keep.has(key)
+        at, row = at[ok], row[ok]
+        low, high = np.maximum(at - (LEAST - KEY), rb[row]), np.minimum(at, rb[row + 1] - LEAST) + 1
+        some = low < high
+        change = np.zeros(len(h) + 1, np.int64)
+        np.add.at(change, low[some], 1)
+        np.add.at(change, high[some], -1)
+        start = np.flatnonzero(np.cumsum(change)[:-1])
+        yield a, rb, start, np.searchsorted(rb, start, side="right") - 1, textkernel.gram_hashes(h, LEAST)[start].view(np.int64)
 
 
-def _side(h: np.ndarray, at: np.ndarray, step: int, limit: np.ndarray) -> list[bytes]:
-    """Big-endian 32-bit hashes of up to REACH words from each position on, left or right."""
-    short = (h >> np.uint64(32)).astype(">u4")
-    out = []
-    for p, n in zip(at.tolist(), np.minimum(limit, REACH).tolist(), strict=True):
-        out.append((short[p : p + n] if step > 0 else short[p - n + 1 : p + 1][::-1]).tobytes())
-    return out
-
-
-def _suffixes(wanted):
+def _counts(wanted):
     def run(batches):
         keep = IdFilter(wanted.value)
-        number = TaskContext.get().partitionId() << 40
+        held, size = [], 0
         for batch in batches:
-            ids = batch.column("doc_id")
-            for a, _, rb, h, at, row, key in _anchors(batch.column("text")):
-                ok = keep.has(key)
-                at, row, key = at[ok], row[ok], key[ok]
-                before = _side(h, at - 1, -1, at - rb[row])
-                after = _side(h, at + KEY, 1, rb[row + 1] - at - KEY)
-                out = pa.RecordBatch.from_pydict(
-                    {"key": pa.array(key), "row_no": pa.array(row + a + number), "doc_id": ids.take(pa.array(row + a)), "pos": pa.array((at - rb[row]).astype(np.int32)), "before": pa.array(before, pa.binary()), "after": pa.array(after, pa.binary())}
-                )
-                for i in range(0, len(at), 20_000):
-                    yield out.slice(i, 20_000)
-            number += batch.num_rows
+            for *_, hashes in _stretches(batch.column("text"), keep):
+                held.append(hashes)
+                size += len(hashes)
+                if size > 2_000_000:
+                    yield from _counted(held)
+                    held, size = [], 0
+        yield from _counted(held)
 
     return run
 
 
-def _common(x: bytes, y: bytes) -> int:
-    """Equal leading words of two sides."""
-    n = min(len(x), len(y)) // 4
-    if x[: 4 * n] == y[: 4 * n]:
-        return n
-    return int(np.argmax(np.frombuffer(x, np.uint32, n) != np.frombuffer(y, np.uint32, n)))
+def _counted(held: list[np.ndarray]):
+    if held:
+        ids, n = np.unique(np.concatenate(held), return_counts=True)
+        for i in range(0, len(ids), 100_000):
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids[i : i + 100_000]), "n": pa.array(n[i : i + 100_000].astype(np.int64))})
+
+
+PLACE = "id long, row_no long, doc_id long, pos int"
 
 
-MATCH = "row_no long, doc_id long, start int, end int"
+def _places(wanted, repeated):
+    def run(batches):
+        keep, again = IdFilter(wanted.value), IdFilter(repeated.value)
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for a, rb, start, row, hashes in _stretches(batch.column("text"), keep):
+                ok = again.has(hashes)
+                start, row, hashes = start[ok], row[ok], hashes[ok]
+                out = pa.RecordBatch.from_pydict({"id": pa.array(hashes), "row_no": pa.array(row + a + number), "doc_id": ids.take(pa.array(row + a)), "pos": pa.array((start - rb[row]).astype(np.int32))})
+                for i in range(0, len(start), 100_000):
+                    yield out.slice(i, 100_000)
+            number += batch.num_rows
+
+    return run
 
 
-def _neighbours(batches):
-    """Rows come sorted: where two neighbours share LEAST words around their key, both have a match."""
-    last = None
+def _spans(batches):
+    """Places of each row, joined where they touch."""
     for batch in batches:
-        out = []
-        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "row_no", "doc_id", "pos", "before", "after")), strict=True):
-            if last is not None and last[0] == row[0]:
-                left, right = _common(last[4], row[4]), _common(last[5], row[5])
-                if left + KEY + right >= LEAST:
-                    out += [(r[1], r[2], r[3] - left, r[3] + KEY + right) for r in (last, row)]
-            last = row
-        if out:
-            yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, c, t in zip(("row_no", "doc_id", "start", "end"), zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)})
+        spans = []
+        for at in batch.column("at").to_pylist():
+            at = np.sort(np.array(at, np.int64))
+            new = np.flatnonzero(np.diff(at, prepend=at[0] - LEAST - 1) > LEAST)
+            spans.append([{"start": x, "end": y} for x, y in zip(at[new].tolist(), (at[np.append(new[1:], len(at)) - 1] + LEAST).tolist(), strict=True)])
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_words": pa.array([sum(x["end"] - x["start"] for x in own) for own in spans], pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))})
 
 
 def repeated_passages(documents: DataFrame) -> DataFrame:
@@ -147,22 +154,13 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     repeated = settle(docs.select("text").mapInArrow(_keys, "id long").groupBy("id").count().filter("count > 1").select("id"), "keys")
     wanted = spark.sparkContext.broadcast(id_filter(repeated).bits)
-    suffixes = docs.mapInArrow(_suffixes(wanted), SUFFIX)
-    suffixes = settle(suffixes, "suffixes")
-    right = suffixes.repartition("key").sortWithinPartitions("key", "after", "before", "row_no", "pos").mapInArrow(_neighbours, MATCH)
-    left = suffixes.repartition("key").sortWithinPartitions("key", "before", "after", "row_no", "pos").mapInArrow(_neighbours, MATCH)
-    spans = right.union(left).groupBy("row_no", "doc_id", "start").agg(F.max("end").alias("end"))
-    spans = spans.groupBy("row_no", "doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("all"))
-    empty = F.array().cast("array<struct<start: int, end: int>>")
-
-    def add(done, x):
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(done) > 0) & (x["start"] <= F.try_element_at(done, F.lit(-1))["end"]), joined).otherwise(F.concat(done, F.array(x)))
-
-    merged = spans.withColumn("spans", F.aggregate("all", empty, add))
-    total = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + (x["end"] - x["start"]).cast("long"))
-    return merged.select("doc_id", total.alias("n_words"), "spans")
+    counts = docs.select("text").mapInArrow(_counts(wanted), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    twice = settle(counts.filter("n > 1").select("id"), "stretches")
+    again = spark.sparkContext.broadcast(id_filter(twice).bits)
+    # The filter lets some others through; the join does not.
+    places = docs.mapInArrow(_places(wanted, again), PLACE).join(twice.hint("merge"), "id")
+    rows = places.groupBy("row_no", "doc_id").agg(F.collect_list("pos").alias("at"))
+    return rows.mapInArrow(_spans, "doc_id long, n_words long, spans array<struct<start: int, end: int>>")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
