@@ -30,8 +30,8 @@ from threadloom.session import settle
 
 LEAF_CHARS = 32_768
 LONG_TOKEN = 2_048
-#: Distinct pre-tokens whose ids a worker keeps.
-CACHE = 400_000
+#: Distinct pre-tokens whose ids a worker keeps (some 25 MB).
+CACHE = 100_000
 #: Characters that the end of a text can change the pre-tokens of.
 MARGIN = 32
 
@@ -99,14 +99,14 @@ class Codec:
 
     def blobs(self, words: list[str]) -> list[bytes]:
         """Ids of many pre-tokens, as int32 bytes."""
-        if len(self.cache) > CACHE:
-            self.cache = {}
         cache, out = self.cache, []
         for w in words:
             got = cache.get(w)
             if got is None:
                 got = np.array(self.word(w), np.int32).tobytes()
                 if len(w) <= 64:
+                    if len(cache) >= CACHE:
+                        cache.clear()
                     cache[w] = got
             out.append(got)
         return out
@@ -188,7 +188,7 @@ def _encoded_chunk(c: Codec, cps: np.ndarray, bounds: np.ndarray, ok: np.ndarray
         parts = [c.library_starts(textkernel.to_text(cps[a:b])) + a if not k else pretokens.byte_level(cps[a:b], np.array([0, b - a]), c.specials) + a for a, b, k in zip(bounds[:-1].tolist(), bounds[1:].tolist(), ok.tolist(), strict=True) if b > a]
         starts = np.concatenate(parts)
     ends = np.append(starts[1:], len(cps))
-    _, first, index = np.unique(textkernel.span_hashes(cps, starts, ends), return_index=True, return_inverse=True)
+    _, first, index = textkernel.distinct_spans(cps, starts, ends)
     flat = textkernel.to_text(cps)
     blobs = c.blobs([flat[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
     sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
@@ -216,6 +216,7 @@ def _encoded_chunk(c: Codec, cps: np.ndarray, bounds: np.ndarray, ok: np.ndarray
 def _encode(path: str, leaf_chars: int):
     """Short texts encoded; long ones as leaves that are still to be encoded."""
 
+    @textkernel.tidied
     def run(batches) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         base = TaskContext.get().partitionId() << 40
@@ -247,6 +248,7 @@ LEAF = "row_no long, doc_id long, leaf int, text string, starts binary, sizes bi
 
 
 def _leaves(path: str):
+    @textkernel.tidied
     def run(batches):
         c = codec(path)
         for batch in batches:
@@ -300,6 +302,7 @@ def encode_documents(documents: DataFrame, path: str, leaf_chars: int = LEAF_CHA
 
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``encode_documents`` of all of ``documents`` with byte_bpe_50k.json, as counts and digests; odd rows as stated there."""
     import public_tokenizers
 
     got = encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))

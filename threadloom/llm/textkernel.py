@@ -1,29 +1,50 @@
 """Column-at-a-time text work on Arrow batches: code points, word bounds, hashes.
 
 A batch of texts becomes one array of code points; word and pre-token bounds
-come from class tables, and each word's 64-bit hash from one running sum, so
-that no Python code runs per character or per word. Work goes in pieces of at
-most ``CHUNK_CHARS`` characters (or one text, if it is longer) to bound memory.
+come from class tables, and the words' 64-bit hashes are made side by side, three
+characters a step, so that no Python code runs per character or per word. Work goes
+in pieces of at most ``CHUNK_CHARS`` characters (or one text, if it is longer), and
+memory that a task has freed goes back to the system at its end, as Python workers live on.
 """
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: White space as Unicode's White_Space property has it (fixed values).
 WHITE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: Between words for word shingles: space and tab to carriage return (fixed values).
 PLAIN_WHITE = (32, 9, 10, 11, 12, 13)
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Characters of a span that are hashed together: 21 bits each.
+STEP = 3
+#: Longer spans are hashed one by one.
+LONG_SPAN = 96
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches; what it freed goes back to the system when it ends."""
+
+    @wraps(run)
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidy
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,11 +88,6 @@ def unicode_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return kind, stable, lower
 
 
-@lru_cache(1)
-def _char_values() -> np.ndarray:
-    return mix(np.arange(1, 0x10001, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-
-
 @lru_cache(1)
 def _plain_white() -> np.ndarray:
     t = np.zeros(0x10000, bool)
@@ -79,23 +95,6 @@ def _plain_white() -> np.ndarray:
     return t
 
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        m = max(n, CHUNK_CHARS + 1)
-        for name, b in (("up", BASE), ("down", BASE_INVERSE)):
-            p = np.full(m, b, np.uint64)
-            p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    if n > 4 * CHUNK_CHARS:  # a single giant text: do not keep its tables
-        return _powers.pop("up"), _powers.pop("down")
-    return _powers["up"], _powers["down"]
-
-
 def look(table: np.ndarray, cps: np.ndarray) -> np.ndarray:
     """Entries of a table over the basic plane; code points beyond it share the last entry."""
     return table.take(cps) if cps.dtype == np.uint8 else table.take(cps, mode="clip")
@@ -126,20 +125,20 @@ def sorted_unique(x: np.ndarray) -> np.ndarray:
     return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
-def chunks(texts: pa.Array, max_rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(texts: pa.Array, max_rows: int = 1 << 30, max_chars: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, code points, bounds) of pieces of a string array; nulls count as empty.
 
     ``bounds`` has one more entry than rows: text i has code points bounds[i]:bounds[i + 1].
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    ends = np.concatenate([[0], np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))])
+    sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     a, n = 0, len(texts)
     while a < n:
-        b = max(a + 1, int(np.searchsorted(ends, ends[a] + CHUNK_CHARS, side="right")) - 1)
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + (max_chars or CHUNK_CHARS), side="right")) - 1)
         b = min(b, a + max_rows)
-        part = texts.slice(a, b - a)
+        part = pc.fill_null(texts.slice(a, b - a).cast(pa.large_string()), "")
         offsets = np.frombuffer(part.buffers()[1], np.int64, count=part.offset + len(part) + 1)[part.offset :]
         data = part.buffers()[2]
         raw = memoryview(data)[offsets[0] : offsets[-1]] if data is not None else b""
@@ -147,20 +146,80 @@ def chunks(texts: pa.Array, max_rows: int = 1 << 30) -> Iterator[tuple[int, int,
         a = b
 
 
+def texts_of(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch: its column ``text``, or that field of the rows it carries as one column."""
+    return batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text")
+
+
+def _steps(cps: np.ndarray) -> np.ndarray:
+    """At each position its character and the two after it, as one number."""
+    one = cps.astype(np.uint64)
+    out = one.copy()
+    for k in range(1, min(STEP, len(one))):
+        out[:-k] |= one[k:] << np.uint64(21 * k)
+    return out
+
+
+#: What of a step belongs to a span with so many characters left.
+_LEFT = np.array([(1 << 21 * k) - 1 for k in range(STEP + 1)], np.uint64)
+
+
 def span_hashes(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's characters; equal spans get equal hashes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(cps) + 1)
-    v = look(_char_values(), cps)
-    if cps.dtype != np.uint8 and len(cps) and cps.max() > 0xFFFF:
-        high = cps > 0xFFFF
-        v[high] = mix(cps[high].astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-    v *= up[: len(cps)]
-    total = np.zeros(len(cps) + 1, np.uint64)
-    np.cumsum(v, out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    """A 64-bit hash of each span's characters; equal spans get equal hashes.
+
+    Every step goes through the whole finaliser, so that no pattern of characters
+    cancels out. Spans that must not be taken for one another are compared as well
+    (``distinct_spans``).
+    """
+    size = (ends - starts).astype(np.int64)
+    h = size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x9E3779B97F4A7C15)
+    steps = _steps(cps)
+    live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    at = 0
+    while len(live):
+        v = steps[starts[live] + at] & _LEFT[np.minimum(size[live] - at, STEP)]
+        h[live] = mix(h[live] ^ v)
+        at += STEP
+        live = live[size[live] > at]
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(cps[starts[i] : ends[i]].astype("<u4").tobytes(), 0x51AB2E7F)
+    return h
+
+
+def same_spans(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each span has the very characters of span ``other[i]``."""
+    size = (ends - starts).astype(np.int64)
+    same = (size == size[other]) & (other != np.arange(len(other)))
+    steps = _steps(cps)
+    live = np.flatnonzero(same & (size <= LONG_SPAN))
+    at = 0
+    while len(live):
+        own = _LEFT[np.minimum(size[live] - at, STEP)]
+        equal = steps[starts[live] + at] & own == steps[starts[other[live]] + at] & own
+        same[live[~equal]] = False
+        at += STEP
+        live = live[equal & (size[live] > at)]
+    for i in np.flatnonzero(same & (size > LONG_SPAN)).tolist():
+        j = int(other[i])
+        same[i] = np.array_equal(cps[starts[i] : ends[i]], cps[starts[j] : ends[j]])
+    return same | (other == np.arange(len(other)))
+
+
+def distinct_spans(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each distinct span, where it first stands, index of each span's distinct one).
+
+    Spans are told apart by their characters: two of them that share a hash are two.
+    """
+    keys, first, index = np.unique(span_hashes(cps, starts, ends), return_index=True, return_inverse=True)
+    other = np.flatnonzero(~same_spans(cps, starts, ends, first[index]))
+    if len(other):
+        n, known = len(keys), {}
+        shared = keys[index[other]]
+        for i in other.tolist():
+            index[i] = n + known.setdefault(cps[starts[i] : ends[i]].tobytes(), len(known))
+        _, at = np.unique(index[other], return_index=True)
+        keys, first = np.concatenate([keys, shared[at]]), np.concatenate([first, other[at]])
+    return keys, first, index
 
 
 def plain_words(cps: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

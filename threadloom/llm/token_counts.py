@@ -23,6 +23,10 @@ from threadloom.session import settle
 
 #: Bytes of the texts whose frequencies go out as one block.
 BLOCK_BYTES = 16_000_000
+#: Characters that are split at once: the more, the fewer times a pre-token comes up anew.
+SPLIT_CHARS = 2_000_000
+#: Distinct pre-tokens that a task holds before they go out.
+HELD = 400_000
 
 
 @lru_cache(4)
@@ -68,15 +72,14 @@ def library_pretokens(tok, specials: tuple[str, ...], text: str) -> list[str]:
 def _blocks(texts: pa.Array, path: str) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, distinct pre-tokens, their hashes, index of each one's pre-token, its row) by chunk."""
     tok, specials, _ = load(path)
-    for a, b, raw, bounds in textkernel.chunks(texts):
+    for a, b, raw, bounds in textkernel.chunks(texts, max_chars=SPLIT_CHARS):
         cps = textkernel.lowered(raw)
         start, end = pretokens.word_level(cps, bounds, specials, raw)
         row = np.searchsorted(bounds, start, side="right") - 1
         ok = pretokens.stable_rows(raw, bounds)
         keep = ok[row]
         start, end, row = start[keep], end[keep], row[keep]
-        hashes = textkernel.span_hashes(cps, start, end)
-        distinct, first, index = np.unique(hashes, return_index=True, return_inverse=True)
+        distinct, first, index = textkernel.distinct_spans(cps, start, end)
         flat = textkernel.to_text(cps)
         words = [flat[x:y] for x, y in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         if not ok.all():
@@ -101,17 +104,17 @@ def _hash(word: str) -> np.uint64:
 def _distinct(path: str):
     """Distinct pre-tokens of a task's texts; the set goes out whenever it is large."""
 
+    @textkernel.tidied
     def run(batches):
         seen: set[str] = set()
         for batch in batches:
             for _, _, words, *_ in _blocks(batch.column("text"), path):
                 seen.update(words)
-                if len(seen) > 1_000_000:
+                if len(seen) > HELD:
                     yield pa.RecordBatch.from_pydict({"pretoken": pa.array(list(seen), pa.string())})
                     seen = set()
-        words = list(seen)
-        for i in range(0, len(words), 200_000):
-            yield pa.RecordBatch.from_pydict({"pretoken": pa.array(words[i : i + 200_000], pa.string())})
+        if seen:
+            yield pa.RecordBatch.from_pydict({"pretoken": pa.array(list(seen), pa.string())})
 
     return run
 
@@ -153,6 +156,8 @@ def _frequencies(path: str):
         words = np.concatenate([w for w, *_ in parts])
         shift = np.cumsum([0, *(len(w) for w, *_ in parts[:-1])])
         _, first, same = np.unique(np.concatenate([h for _, h, *_ in parts]), return_index=True, return_inverse=True)
+        if not (words[first][same] == words).all():  # two pre-tokens of one hash
+            _, first, same = np.unique(words, return_index=True, return_inverse=True)
         word = same[np.concatenate([index + k for k, (_, _, index, _, _) in zip(shift.tolist(), parts, strict=True)])]
         row, count = (np.concatenate([p[k] for p in parts]) for k in (3, 4))
         order = np.argsort(word, kind="stable")  # rows ascend within each pre-token
@@ -173,6 +178,7 @@ def _frequencies(path: str):
         for i in range(0, len(first), 100_000):
             yield whole.slice(i, 100_000)
 
+    @textkernel.tidied
     def run(batches):
         for base, batch in _numbered(batches):
             text, ids = pc.fill_null(batch.column("text"), ""), batch.column("doc_id")
@@ -302,6 +308,7 @@ def count_tokens(documents: DataFrame, path: str, limit: int = 2048) -> DataFram
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``count_tokens`` of all of ``documents`` with word_bpe_49k.json; odd rows as stated there."""
     import public_tokenizers
 
     return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
