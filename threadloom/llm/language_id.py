@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from threadloom.llm import textkernel
 from threadloom.llm.tables import summed_table
@@ -50,9 +51,8 @@ def _features(cps: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
             h *= np.uint32(0x2C1B3C6D)
             h ^= h >> np.uint32(13)
             out.append((h & np.uint32(FEATURES - 1)).astype(np.uint16 if FEATURES <= 1 << 16 else np.uint32))
-            rows.append(row)
-    feature, row = np.concatenate(out), np.concatenate(rows)
-    return feature, row
+            rows.append(row.astype(np.int32))
+    return np.concatenate(out), np.concatenate(rows)
 
 
 def _has_letter(cps: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -88,6 +88,7 @@ def _frequencies(batches):
     return df
 
 
+@textkernel.tidied
 def _sampled(batches):
     """Counts of each sampled text's features."""
     for batch in batches:
@@ -163,24 +164,37 @@ def fit_temperature(margins: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+def quotas(counts: dict[str, int], sample: int) -> dict[str, int]:
+    """Rows to fit on of each language: an even share, what small ones leave shared by the others, and one at least."""
+    out, left = {}, sample
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = max(1, min(n, left // (len(counts) - i)))
+        left -= min(left, out[lang])
+    return out
+
+
 def train(documents: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     """A model from the rows of ``documents`` (columns text, lang, key) that have a language.
 
-    At most ``sample`` rows are fitted on, as many of each language as there are and
-    the rest shared out, chosen by a hash of ``key``; the document frequencies come from
+    At most ``sample`` rows are fitted on (or one a language, if there are more languages than that), the
+    ``quotas`` of the languages, those that a hash of ``key`` puts first; the document frequencies come from
     all rows. None if no row has a language.
     """
     known = documents.filter("lang is not null and text is not null")
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()}
+    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return None
     df = summed_table(known.select("text"), _frequencies, FEATURES + 1)
-    share = sample / len(counts)
-    rate = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, share / n))])
-    rank = F.xxhash64("key", F.lit(7))
+    share = quotas(counts, sample)
+    # A few more than the quota are drawn before the rows are ranked, so that few are.
+    drawn = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, (share[k] + 6 * share[k] ** 0.5 + 20) / n))])
+    quota = F.create_map(*[F.lit(v) for k, n in share.items() for v in (k, n)])
     uniform = (F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)).cast("double")
-    chosen = known.filter(uniform < F.try_element_at(rate, F.col("lang"))).select("lang", "text", rank.alias("rank"))
-    rows = chosen.mapInArrow(_sampled, "lang string, rank long, features binary, counts binary").orderBy("rank", "lang", "features", "counts").limit(sample).collect()
+    chosen = known.filter(uniform < F.try_element_at(drawn, F.col("lang"))).select("lang", "text", F.xxhash64("key", F.lit(7)).alias("rank"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "text"))
+    chosen = chosen.withColumn("place", place).filter(F.col("place") <= F.try_element_at(quota, F.col("lang"))).drop("place")
+    rows = chosen.mapInArrow(_sampled, "lang string, rank long, features binary, counts binary").collect()
+    rows.sort(key=lambda r: (r.rank, r.lang, bytes(r.features), bytes(r.counts)))
     languages = sorted({r.lang for r in rows})
     if not languages:
         return None
@@ -196,43 +210,53 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     return LanguageModel(languages, idf, weights, fit_temperature(margins, np.array([y for y, _, _ in aside], int)))
 
 
-def _predict(shared):
+def scores(model: LanguageModel, table: np.ndarray, idf: np.ndarray, cps: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The probability of each language (columns) for each text of a chunk."""
+    feature, row = _features(cps, bounds)
+    n = len(bounds) - 1
+    margin = np.zeros((n, len(model.languages)))
+    if len(row):
+        margin = np.stack([np.bincount(row, weights=table[:, j].take(feature), minlength=n) for j in range(len(model.languages))], 1)
+        margin /= np.maximum(np.bincount(row, weights=idf.take(feature), minlength=n), 1e-9)[:, None]
+    margin -= margin.max(1, keepdims=True)
+    p = np.exp(margin)
+    return p / p.sum(1, keepdims=True)
+
+
+def _predict(shared, keep: list[str]):
+    @textkernel.tidied
     def run(batches):
         model = shared.value
         table = (model.weights * model.idf[:, None] * (SCALE / model.temperature)).astype(np.float32) if model else None
         idf = model.idf.astype(np.float32) if model else None
         names = np.array([*model.languages, UNKNOWN], object) if model else None
         for batch in batches:
-            for a, b, cps, bounds in textkernel.chunks(batch.column("text")):
+            for a, b, cps, bounds in textkernel.chunks(textkernel.texts_of(batch)):
                 n = b - a
-                columns = {c: batch.column(c).slice(a, n) for c in batch.schema.names}  # what is kept
+                columns = {c: batch.column(c).slice(a, n) for c in keep}
                 if model is None:
                     yield pa.RecordBatch.from_pydict(columns | {"lang_pred": pa.array([UNKNOWN] * n), "score": pa.array(np.zeros(n))})
                     continue
-                feature, row = _features(cps, bounds)
-                k = len(model.languages)
-                margin = np.stack([np.bincount(row, weights=table[:, j].take(feature), minlength=n) for j in range(k)], 1)
-                margin /= np.maximum(np.bincount(row, weights=idf.take(feature), minlength=n), 1e-9)[:, None]
-                margin -= margin.max(1, keepdims=True)
-                p = np.exp(margin)
-                p /= p.sum(1, keepdims=True)
+                p = scores(model, table, idf, cps, bounds)
                 best = p.argmax(1)
                 ok = _has_letter(cps, bounds)
                 score = np.where(ok, p[np.arange(n), best], 0.0)
-                yield pa.RecordBatch.from_pydict(columns | {"lang_pred": pa.array(names[np.where(ok, best, k)], pa.string()), "score": pa.array(score)})
+                yield pa.RecordBatch.from_pydict(columns | {"lang_pred": pa.array(names[np.where(ok, best, len(model.languages))], pa.string()), "score": pa.array(score)})
 
     return run
 
 
 def predict(documents: DataFrame, model: LanguageModel | None, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of each row with lang_pred and score, from its whole ``text`` alone.
+    """Columns ``keep`` of each row with lang_pred and score, from its whole text alone.
 
-    A null text, or one without a letter, is ``und`` with score 0, and so is every
-    text if nothing was learned.
+    The text is the column ``text`` or else that field of a column ``row``. A null or
+    empty text, or one without a letter, is ``und`` with score 0, and so is every text if
+    nothing was learned. Repeated rows each keep a row; an empty table gives none.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in dict.fromkeys([*keep, "text"]))
-    return documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_predict(shared), f"{schema}, lang_pred string, score double").select(*keep, "lang_pred", "score")
+    read = list(dict.fromkeys([*keep, *(["text"] if "text" in documents.columns else [])]))
+    schema = StructType([*(documents.schema[c] for c in keep), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return documents.select(*read).mapInArrow(_predict(shared, keep), schema)
 
 
 def identify_languages(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -249,4 +273,5 @@ def identify_languages(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``identify_languages`` of all of ``documents``; odd rows as stated there."""
     return identify_languages(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -6,36 +6,55 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from threadloom.llm.textkernel import tidied
 
 SLICE = 1 << 16
+#: Tasks whose tables are added up together, before all are.
+TASKS = 64
+PART = "grp int, slice int, counts binary, width int"
+
 
+def _part(group: int, k: int, counts: np.ndarray) -> pa.RecordBatch:
+    high = int(counts.max(initial=0))
+    kind = np.dtype(next(t for t in (np.uint16, np.uint32, np.uint64) if high <= np.iinfo(t).max))
+    return pa.RecordBatch.from_pydict({"grp": pa.array([group], pa.int32()), "slice": pa.array([k], pa.int32()), "counts": pa.array([counts.astype(kind).tobytes()], pa.binary()), "width": pa.array([kind.itemsize], pa.int32())})
 
-def _sliced(count: Callable[[Iterator], np.ndarray]):
-    def run(batches):
-        total = count(batches)
-        for k in range(0, len(total), SLICE):
-            part = total[k : k + SLICE]
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"slice": pa.array([k // SLICE], pa.int32()), "counts": pa.array([part.astype(np.uint32 if part.max() < 1 << 32 else np.uint64).tobytes()], pa.binary()), "wide": pa.array([bool(part.max() >= 1 << 32)])})
 
-    return run
+def sliced(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's table as rows of PART, slices of nothing but zeros left out."""
+    group = TaskContext.get().partitionId() // TASKS
+    for k in range(0, len(total), SLICE):
+        if total[k : k + SLICE].any():
+            yield _part(group, k // SLICE, total[k : k + SLICE])
 
 
 def _add(batches):
-    total: dict[int, np.ndarray] = {}
+    total: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
-        for k, blob, wide in zip(*(batch.column(c).to_pylist() for c in ("slice", "counts", "wide")), strict=True):
-            got = np.frombuffer(blob, np.uint64 if wide else np.uint32).astype(np.int64)
-            total[k] = total[k] + got if k in total else got
-    for k, v in total.items():
-        yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "counts": pa.array([v.tobytes()], pa.binary())})
+        for g, k, blob, width in zip(*(batch.column(c).to_pylist() for c in ("grp", "slice", "counts", "width")), strict=True):
+            got = np.frombuffer(blob, f"u{width}").astype(np.int64)
+            total[g, k] = total[g, k] + got if (g, k) in total else got
+    for (g, k), v in total.items():
+        yield _part(g, k, v)
 
 
-def summed_table(rows: DataFrame, count: Callable[[Iterator], np.ndarray], size: int) -> np.ndarray:
-    """The sum over all tasks of ``count``'s array of ``size`` counts; only the sum reaches the driver."""
-    parts = rows.mapInArrow(_sliced(count), "slice int, counts binary, wide boolean")
+def added_up(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of the tasks' tables (rows of PART); only the sum reaches the driver.
+
+    Tables are added up in groups of tasks first, so what one task reads grows by a
+    table for each TASKS tasks only.
+    """
+    some = parts.select("grp", "slice", "counts", "width").repartition("grp", "slice").mapInArrow(_add, PART)
     out = np.zeros(size, np.int64)
-    for k, blob in parts.repartition(16, "slice").mapInArrow(_add, "slice int, counts binary").collect():
-        out[k * SLICE : (k + 1) * SLICE] = np.frombuffer(blob, np.int64)
+    for _, k, blob, width in some.withColumn("grp", F.lit(0)).repartition("slice").mapInArrow(_add, PART).collect():
+        out[k * SLICE : (k + 1) * SLICE] = np.frombuffer(blob, f"u{width}")
     return out
+
+
+def summed_table(rows: DataFrame, count: Callable[[Iterator], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all tasks of ``count``'s array of ``size`` counts."""
+    return added_up(rows.mapInArrow(tidied(lambda batches: sliced(count(batches))), PART), size)
