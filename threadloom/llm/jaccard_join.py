@@ -15,28 +15,33 @@ across components compared. A pair that shares a
 prefix shingle thus either is verified or lies in one component already, so no
 link between components is missed.
 
-Shingles are 52-bit hashes; two different shingles of one pair of 500-word texts
-share one with a probability of about 1e-10.
+The suffix filter bounds an overlap by parts: hashes are parted into ``PARTS`` ranges, and
+in none of them can two sets share more than the smaller one has there.
+
+Shingles are 56-bit hashes; two different shingles of one pair of 500-word texts
+share one with a probability of about 1e-11. Equal sets are told by a 64-bit id.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from threadloom.llm import textkernel
+from threadloom.llm.tables import PART, added_up, sliced
 from threadloom.operators.components import components
 from threadloom.session import settle
 
 WORDS = 5
 #: A link needs MORE * intersection >= LESS * union (fixed values: 0.75).
 MORE, LESS = 100, 75
-ROWS = 4096
-HASH_BITS = 52
+ROWS = 256
+HASH_BITS = 56
 BINS = 1 << 20
-SLICES = 16
 PARTS = 8
 #: Members of a centre that one task verifies; more of them go to more tasks.
 PER_TASK = 2000
@@ -87,12 +92,24 @@ def set_ids(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return np.where(cut[1:] > cut[:-1], ids, np.uint64(0))
 
 
-CARD = "doc_id long, n int, s long, p0 long, p1 long, slice int, counts binary"
+CARD = f"doc_id long, n int, s long, pair long, p0 long, p1 long, {PART}"
+
+
+def pairs_of(ids: pa.Array, sets: np.ndarray) -> np.ndarray:
+    """An id of each row's doc_id and set together."""
+    known = pc.fill_null(ids, -1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return textkernel.mix(textkernel.mix(known + np.uint64(0x3C6EF372FE94F82B)) ^ sets).view(np.int64)
 
 
 def _cards(words: int):
     """A card per document, and at the end of a task its counts of shingles by bin."""
 
+    def batch_of(**columns) -> pa.RecordBatch:
+        types = {"doc_id": pa.int64(), "n": pa.int32(), "s": pa.int64(), "pair": pa.int64(), "p0": pa.int64(), "p1": pa.int64(), "grp": pa.int32(), "slice": pa.int32(), "counts": pa.binary(), "width": pa.int32()}
+        rows = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_pydict({k: pa.array(columns[k], t) if k in columns else pa.nulls(rows, t) for k, t in types.items()})
+
+    @textkernel.tidied
     def run(batches):
         bins = np.zeros(BINS, np.int64)
         for batch in batches:
@@ -102,41 +119,25 @@ def _cards(words: int):
                 row = np.repeat(np.arange(n), np.diff(cut))
                 parts = np.bincount(row * PARTS + (h >> np.uint64(HASH_BITS - 3)).astype(np.int64), minlength=n * PARTS)
                 packed = np.minimum(parts, 0xFFFF).astype(np.uint16).reshape(n, PARTS).view(np.int64)
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": ids.slice(a, n), "n": pa.array(np.diff(cut).astype(np.int32)), "s": pa.array(set_ids(h, cut).view(np.int64)), "p0": pa.array(packed[:, 0].copy()), "p1": pa.array(packed[:, 1].copy()), "slice": pa.nulls(n, pa.int32()), "counts": pa.nulls(n, pa.binary())}
-                )
+                own, sets = ids.slice(a, n), set_ids(h, cut)
+                yield batch_of(doc_id=own, n=np.diff(cut).astype(np.int32), s=sets.view(np.int64), pair=pairs_of(own, sets), p0=packed[:, 0].copy(), p1=packed[:, 1].copy())
         if bins.any():
-            kind = np.uint16 if bins.max() < 1 << 16 else np.uint32
-            blobs = [x.astype(kind).tobytes() for x in np.split(bins, SLICES)]
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": pa.nulls(SLICES, pa.int64()), "n": pa.nulls(SLICES, pa.int32()), "s": pa.nulls(SLICES, pa.int64()), "p0": pa.nulls(SLICES, pa.int64()), "p1": pa.nulls(SLICES, pa.int64()), "slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array(blobs, pa.binary())}
-            )
+            for part in sliced(bins):
+                yield batch_of(**{c: part.column(c) for c in part.schema.names})
 
     return run
 
 
-def _add_slices(batches):
-    """Adds the counts of each slice; what one task holds is the fixed size of its slices."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, blob in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            total[k] = total.get(k, 0) + np.frombuffer(blob, np.uint16 if len(blob) == 2 * BINS // SLICES else np.uint32).astype(np.int64)
-    yield pa.RecordBatch.from_pydict({"slice": pa.array(list(total), pa.int32()), "counts": pa.array([v.tobytes() for v in total.values()], pa.binary())})
-
-
 def rarity(cards: DataFrame) -> np.ndarray:
     """For each hash bin a level from 0 (rare) to 255, from counts over all documents."""
-    got = cards.filter("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_add_slices, "slice int, counts binary").collect()
-    bins = np.zeros(BINS)
-    width = BINS // SLICES
-    for k, blob in got:
-        bins[k * width : (k + 1) * width] = np.frombuffer(blob, np.int64)
+    bins = added_up(cards.filter("slice is not null"), BINS)
     return np.minimum(8 * np.log2(bins + 1), 255).astype(np.uint8)
 
 
 def _prefixes(levels, words: int):
     """The first shingles, rarest first, of each distinct set that a task meets."""
 
+    @textkernel.tidied
     def run(batches):
         level = levels.value
         seen: set[int] = set()
@@ -155,14 +156,14 @@ def _prefixes(levels, words: int):
                 if not len(h):
                     continue
                 rank = level[(h & np.uint64(BINS - 1)).astype(np.int64)].astype(np.uint64)
-                order = np.argsort((row.astype(np.uint64) << np.uint64(52)) | (rank << np.uint64(44)) | (h >> np.uint64(HASH_BITS - 44)), kind="stable")
+                order = np.argsort((row.astype(np.uint64) << np.uint64(HASH_BITS)) | (rank << np.uint64(48)) | (h >> np.uint64(HASH_BITS - 48)), kind="stable")
                 h, row = h[order], row[order]
                 first = np.searchsorted(row, np.arange(n))
                 pos = np.arange(len(h)) - first[row]
                 length = size - -(-LESS * size // MORE) + 1
                 keep = pos < length[row]
                 h, row, pos = h[keep], row[keep], pos[keep]
-                out = pa.RecordBatch.from_pydict({"h": pa.array((h >> np.uint64(4)).view(np.int64)), "s": pa.array(sets.view(np.int64)[row]), "n": pa.array(size[row].astype(np.int32)), "pos": pa.array(pos.astype(np.int32))})
+                out = pa.RecordBatch.from_pydict({"h": pa.array((h >> np.uint64(8)).view(np.int64)), "s": pa.array(sets.view(np.int64)[row]), "n": pa.array(size[row].astype(np.int32)), "pos": pa.array(pos.astype(np.int32))})
                 for i in range(0, len(h), 200_000):
                     yield out.slice(i, 200_000)
 
@@ -338,6 +339,7 @@ def id_filter(ids: DataFrame) -> IdFilter:
 def _whole_sets(wanted, words: int):
     """The sets that verification needs, each once per task, at 7 bytes a shingle."""
 
+    @textkernel.tidied
     def run(batches):
         keep = IdFilter(wanted.value)
         seen: set[int] = set()
@@ -391,26 +393,21 @@ def verified(pairs: DataFrame, documents: DataFrame, words: int) -> DataFrame:
     leads = tasks.select("c", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("part"), F.col("c").alias("s"), F.lit(True).alias("lead"))
     rows = settle(members.unionByName(leads), "members").join(sets, "s").select("c", "part", "s", "lead", "hashes")
     rows = rows.repartition(F.col("c"), F.col("part")).sortWithinPartitions("c", "part", F.desc("lead"), "s")
-    return rows.mapInArrow(_verify, "a long, b long")
-
+    links = settle(rows.mapInArrow(_verify, "a long, b long"), "links")
+    wanted.unpersist()
+    return links
 
-def jaccard_components(documents: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles and component_id per document row.
 
-    Words are runs without space, tab or line ends, A-Z folded; a document's set
-    is its distinct ``words``-word shingles, or its whole sequence if it has fewer
-    words. A null or empty text, or one of white space, has n_shingles 0 and links
-    with nothing. component_id is the smallest doc_id reachable by links. A null
-    doc_id takes part in no component and keeps a null component_id; rows that
-    repeat a doc_id are one node each per text and share what links them through
-    their texts only. Other columns are not read. No rows give no rows.
-    """
+def classes(documents: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """(cards, sets): a card per document row (doc_id, n, s, pair; s is the id of its set, 0 of
+    the empty one), and the distinct sets with what links join them to (s, class)."""
     spark = documents.sparkSession
     found = settle(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cards(words), CARD), "cards")
     cards = found.filter("slice is null")
     levels = spark.sparkContext.broadcast(rarity(found))
     prefixes = documents.select("text").mapInArrow(_prefixes(levels, words), "h long, s long, n int, pos int")
     buckets = settle(prefixes.repartition("h").sortWithinPartitions("h", "s").mapInArrow(_shared, "h long, s long, n int, pos int"), "buckets")
+    levels.unpersist()
     prefix = F.col("n") - F.ceil(F.col("n") * LESS / MORE) + 1
     shares = buckets.groupBy("s").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
     shares = shares.select("s", (F.col("shared") / prefix).alias("share"))
@@ -422,7 +419,7 @@ def jaccard_components(documents: DataFrame, words: int = WORDS) -> DataFrame:
     groups = _blocks(rows, large) if blocks else rows.withColumnRenamed("h", "g")
     stars = groups.repartition("g").sortWithinPartitions("g", F.desc("share"), "s").select("g", "s", "n", "pos", "p0", "p1")
     pairs = settle(stars.mapInArrow(_stars, "c long, s long").distinct(), "pairs")
-    links = settle(verified(pairs, documents, words), "links")
+    links = verified(pairs, documents, words)
     roots = settle(components(links), "roots")
 
     rows = rows.join(roots.withColumnRenamed("id", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
@@ -430,13 +427,98 @@ def jaccard_components(documents: DataFrame, words: int = WORDS) -> DataFrame:
     groups = groups.repartition("g").sortWithinPartitions("g", "n", "s").select("g", "s", "n", "pos", "p0", "p1", "root")
     crossing = groups.mapInArrow(_crossing, "c long, s long").distinct().join(pairs, ["c", "s"], "left_anti")
     crossing = settle(crossing, "crossing")
-    links = settle(links.union(verified(crossing, documents, words)), "links")
+    links = links.union(verified(crossing, documents, words))
     roots = settle(components(links), "roots")
+    known = cards.filter("s <> 0").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("k"))
+    known = known.join(roots.withColumnRenamed("id", "s"), "s", "left")
+    return cards.select("doc_id", "n", "s", "pair"), settle(known.select("s", "doc_id", "k", F.coalesce("root", "s").alias("class")), "classes")
+
+
+#: Keys that hold more than one in so many rows are joined apart: there are at most so many.
+HOT = 10_000
+
+
+def joined_hot(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the columns of their ``key``'s row of ``table``, which says in ``k`` how many rows have the key.
+
+    The keys with more than one in HOT rows, of which there are fewer than HOT, are
+    broadcast, so that no task gathers the rows of a hot one.
+    """
+    hot = F.col("k") * HOT > total
+    names = [c for c in table.columns if c not in (key, "k")]
+    some = F.broadcast(table.filter(hot).select(key, F.struct(*names).alias("hot")))
+    marked = rows.join(some, key, "left")
+    cold = marked.filter("hot is null").drop("hot").join(table.filter(~hot).drop("k"), key, "left")
+    return cold.unionByName(marked.filter("hot is not null").select(*rows.columns, "hot.*"))
+
 
-    labels = cards.join(roots.withColumnRenamed("id", "s"), "s", "left")
-    labels = labels.withColumn("class", F.when(F.col("s") != 0, F.coalesce("root", "s")))
-    least = labels.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return labels.join(least, "class", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+def _least(known: DataFrame, total: int) -> DataFrame:
+    """(s, least, first, k): of each set the smallest doc_id of its class, and the one set that is kept of it."""
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "s")
+    least = known.groupBy("class").agg(F.min("doc_id").alias("least"), F.min(own)["s"].alias("first"), F.count("*").alias("k"))
+    return joined_hot(known.withColumnRenamed("k", "copies").drop("doc_id"), least, "class", total).select("s", "least", "first", F.col("copies").alias("k"))
+
+
+def jaccard_components(documents: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles and component_id per document row.
+
+    Words are runs without space, tab or line ends, A-Z folded; a document's set
+    is its distinct ``words``-word shingles, or its whole sequence if it has fewer
+    words. A null or empty text, or one of white space, has n_shingles 0 and links
+    with nothing. component_id is the smallest doc_id reachable by links. A null
+    doc_id takes part in no component and keeps a null component_id; rows that
+    repeat a doc_id are one node each per text and share what links them through
+    their texts only. Other columns are not read. No rows give no rows.
+    """
+    cards, known = classes(documents, words)
+    total = cards.count()
+    worded = joined_hot(cards.filter("s <> 0"), settle(_least(known, total), "least"), "s", total)
+    rows = worded.select("doc_id", "n", "least").unionByName(cards.filter("s = 0").select("doc_id", "n", F.lit(None).cast("long").alias("least")))
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+
+
+def _tagged(wanted, words: int, maybe: bool):
+    """The rows whose doc_id and set may be in the filter, with both, or the other rows as they are."""
+
+    @textkernel.tidied
+    def run(batches):
+        keep = IdFilter(wanted.value)
+        for batch in batches:
+            texts = textkernel.texts_of(batch)
+            for a, n, h, cut in shingle_sets(texts, words):
+                part, sets = batch.slice(a, n), set_ids(h, cut)
+                own = part.column("doc_id")
+                hit = keep.has(pairs_of(own, sets)) & (sets != 0) & own.is_valid().to_numpy(zero_copy_only=False)
+                at = pa.array(np.flatnonzero(hit == maybe))
+                columns = {"row": part.column("row").take(at)}
+                if maybe:
+                    columns |= {"doc_id": own.take(at), "s": pa.array(sets.view(np.int64)).take(at), "words": texts.slice(a, n).take(at)}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
+def without_copies(documents: DataFrame, words: int = WORDS) -> DataFrame:
+    """The rows of ``documents`` (all columns) without near copies: one of each component stays.
+
+    That is the row of the smallest doc_id and, of several rows of it, those of the set
+    with the smallest id; of rows with the same doc_id and set the smallest text. Rows
+    without words, or without a doc_id, are in no component and stay, each of them.
+    Whether a row stays is judged by row, never by its doc_id alone.
+    """
+    spark = documents.sparkSession
+    cards, known = classes(documents, words)
+    total = cards.count()
+    worded = joined_hot(cards.filter("s <> 0 and doc_id is not null"), settle(_least(known, total), "least"), "s", total)
+    gone = settle(worded.filter("doc_id <> least or s <> first").select("pair", "doc_id", "s").distinct(), "gone")
+    twice = worded.filter("doc_id = least and s = first").groupBy("pair").count().filter("count > 1").select("pair")
+    wanted = spark.sparkContext.broadcast(id_filter(gone.select("pair").union(twice).withColumnRenamed("pair", "id")).bits)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    kinds = {f.name: f for f in rows.schema}
+    sure = rows.mapInArrow(_tagged(wanted, words, False), StructType([kinds["row"]]))
+    doubt = rows.mapInArrow(_tagged(wanted, words, True), StructType([kinds["row"], kinds["doc_id"], StructField("s", LongType()), StructField("words", documents.schema["text"].dataType)]))
+    doubt = doubt.join(gone.select("doc_id", "s"), ["doc_id", "s"], "left_anti").groupBy("doc_id", "s").agg(F.min_by("row", "words").alias("row"))
+    return sure.unionByName(doubt.select("row")).select("row.*")
 
 
 def _blocks(rows: DataFrame, large: DataFrame) -> DataFrame:
@@ -449,6 +531,7 @@ def _blocks(rows: DataFrame, large: DataFrame) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``jaccard_components`` of all of ``documents``; odd rows as stated there."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
