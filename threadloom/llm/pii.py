@@ -6,7 +6,9 @@ their pointwise mutual information over the corpus, divided by the entity's own
 information: PMI(c, t) / IC(c) with PMI = log2(N n_ct / (n_c n_t)) and
 IC = log2(N / n_c), all counts of documents (n_ct: t stands with c; n_t: t stands
 anywhere). From ``REMOVE`` on a term is removed, from ``GENERALISE`` on replaced by
-its class, wherever it stands: it tells of the entity also where that is not named.
+its class, in every document that holds an identifier. A term that stands with the entity
+in at least half of its documents (2 n_ct >= n_t) goes elsewhere too: it tells of the
+entity also where that is not named. Others are left alone in documents without one.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from threadloom.llm import textkernel
 from threadloom.llm.jaccard_join import IdFilter, id_filter
@@ -99,6 +102,9 @@ def _terms(cps: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 BASE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 NEAR = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 IDS = pa.list_(pa.int64())
+ROW_NO = StructField("row_no", LongType())
+SPANS = StructField("base", ArrayType(StructType([StructField(c, IntegerType()) for c in ("start", "kind", "end")])))
+PLACES = StructField("near", ArrayType(StructType([StructField("term", LongType()), StructField("start", IntegerType()), StructField("end", IntegerType())])))
 
 
 def _outside(own: list[tuple[int, int, int]], first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -109,11 +115,12 @@ def _outside(own: list[tuple[int, int, int]], first: np.ndarray, last: np.ndarra
     return ok
 
 
+@textkernel.tidied
 def _mentions(batches):
     """Each row with its base spans, the entities they are and, if there are any, its distinct terms."""
     number = TaskContext.get().partitionId() << 40
     for batch in batches:
-        for a, b, cps, bounds in textkernel.chunks(batch.column("text")):
+        for a, b, cps, bounds in textkernel.chunks(textkernel.texts_of(batch)):
             flat = textkernel.to_text(cps)
             spans = [base_spans(flat[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             entities: list[list[int]] = [[] for _ in spans]
@@ -137,10 +144,11 @@ def _mentions(batches):
 def _candidates(wanted):
     """Each row with those of its terms that may be disclosing ones."""
 
+    @textkernel.tidied
     def run(batches):
         keep = IdFilter(wanted.value)
         for batch in batches:
-            for a, b, cps, bounds in textkernel.chunks(batch.column("text")):
+            for a, b, cps, bounds in textkernel.chunks(textkernel.texts_of(batch)):
                 first, last, term = _terms(cps, bounds)
                 ok = keep.has(term)
                 first, last, term = first[ok], last[ok], term[ok]
@@ -161,6 +169,7 @@ def _candidates(wanted):
 def _term_counts(wanted):
     """In how many of a task's documents each wanted term stands."""
 
+    @textkernel.tidied
     def run(batches):
         keep = IdFilter(wanted.value)
         got, n = [], 0
@@ -186,7 +195,7 @@ def _counted(got: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """(term, removed) of the terms that disclose some entity enough."""
+    """(term, removed, anywhere) of the terms that disclose some entity enough."""
     spark = found.sparkSession
     held = found.filter(F.size("entities") > 0)
     total = float(texts.count())
@@ -207,22 +216,22 @@ def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = pairs.groupBy("entity", "term", "n_c", "n_t").agg(F.count("*").alias("n_ct"))
     pmi = F.log2(F.lit(total) * F.col("n_ct") / (F.col("n_c").cast("double") * F.col("n_t")))
     scored = pairs.withColumn("share", F.try_divide(pmi, F.log2(F.lit(total) / F.col("n_c")))).filter(F.col("share") >= GENERALISE)
-    return scored.groupBy("term").agg((F.max("share") >= REMOVE).alias("removed"))
+    return scored.groupBy("term").agg((F.max("share") >= REMOVE).alias("removed"), F.max(2 * F.col("n_ct") >= F.col("n_t")).alias("anywhere"))
 
 
 def _located(documents: DataFrame, carry: list[str]) -> DataFrame:
     """(row, base, terms): each row's columns ``carry`` as one, so that no name of theirs can clash."""
-    rows = documents.select("text", F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"))
-    row = rows.schema["row"].dataType.simpleString()
-    found = rows.mapInArrow(_mentions, f"text string, row {row}, row_no long, base array<struct<start: int, kind: int, end: int>>, entities array<long>, terms array<long>")
+    spark = documents.sparkSession
+    own = [] if "text" in carry else ["text"]
+    rows = documents.select(*own, F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"))
+    held = [StructField(c, ArrayType(LongType())) for c in ("entities", "terms")]
     # The text is kept for the terms' places, once.
-    found = settle(found.drop("text") if "text" in carry else found, "found")
-    text = found.select((F.col("row.text") if "text" in carry else F.col("text")).alias("text"), "row", "row_no", "base")
+    found = settle(rows.mapInArrow(_mentions, StructType([*rows.schema, ROW_NO, SPANS, *held])), "found")
     flagged = settle(disclosing_terms(found, documents.select("text")), "disclosing")
-    wanted = documents.sparkSession.sparkContext.broadcast(id_filter(flagged.select(F.col("term").alias("id"))).bits)
-    tagged = text.mapInArrow(_candidates(wanted), f"row {row}, row_no long, base array<struct<start: int, kind: int, end: int>>, near array<struct<term: long, start: int, end: int>>")
+    wanted = spark.sparkContext.broadcast(id_filter(flagged.select(F.col("term").alias("id"))).bits)
+    tagged = found.select(*own, "row", "row_no", "base").mapInArrow(_candidates(wanted), StructType([rows.schema["row"], ROW_NO, SPANS, PLACES]))
     near = tagged.filter(F.size("near") > 0)
-    each = near.select("row_no", F.explode("near").alias("x")).select("row_no", "x.*").join(flagged, "term")
+    each = near.select("row_no", (F.size("base") > 0).alias("named"), F.explode("near").alias("x")).select("row_no", "named", "x.*").join(flagged, "term").filter("anywhere or named")
     terms = each.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
     none = F.array().cast("array<struct<start: int, end: int, removed: boolean>>")
     with_terms = near.join(terms, "row_no", "left").withColumn("terms", F.coalesce("terms", none))
@@ -230,7 +239,7 @@ def _located(documents: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def find_personal_data(documents: DataFrame, carry: list[str]) -> DataFrame:
-    """Columns ``carry`` of each row, base spans, and terms: those that disclose an entity, wherever they stand.
+    """Columns ``carry`` of each row, base spans, and terms: the places of those that disclose an entity.
 
     base is array<struct<start, kind, end>> by start and kind, terms is
     array<struct<start, end, removed>>; positions are code points, ends exclusive.
@@ -263,9 +272,13 @@ def _redact(batches):
 
 def sanitise(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` with identifiers masked and disclosing terms removed or
-    generalised in ``text``; all columns stay."""
+    generalised in ``text``; all columns stay.
+
+    Null and empty texts stay as they are; repeated rows are changed alike. An empty
+    table gives no rows.
+    """
     found = _located(documents, documents.columns)
-    clean = found.mapInArrow(_redact, f"row {found.schema['row'].dataType.simpleString()}, clean string")
+    clean = found.mapInArrow(_redact, StructType([found.schema["row"], StructField("clean", StringType())]))
     return clean.select(*[F.col("clean").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in documents.columns])
 
 
@@ -279,6 +292,7 @@ def _count(kind: int) -> Column:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``find_personal_data`` in all of ``documents``, as counts, digest and spans; odd rows as stated there."""
     found = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"])
     count = [_count(k).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
     terms = F.transform("terms", lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), x["end"].alias("end")))
