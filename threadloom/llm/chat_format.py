@@ -101,6 +101,7 @@ def format_chats(conversations: DataFrame, schemas: DataFrame | None = None) ->
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``format_chats`` of all of ``conversations``; odd rows as stated there."""
     return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 

@@ -160,6 +160,7 @@ def slices(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 def _find(shared):
+    @textkernel.tidied
     def run(batches):
         index = shared.value
         for batch in batches:
@@ -194,6 +195,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _clean(shared):
+    @textkernel.tidied
     def run(batches):
         index = shared.value
         for batch in batches:
@@ -206,7 +208,11 @@ def _clean(shared):
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``documents`` (all columns) in which no benchmark item leaks."""
+    """The rows of ``documents`` (all columns) in which no benchmark item leaks.
+
+    Null and empty texts stay; rows are judged one by one, so repeated rows go or stay
+    together. An empty table on either side changes nothing.
+    """
     spark = documents.sparkSession
     for items in slices(benchmark):
         documents = documents.mapInArrow(_clean(spark.sparkContext.broadcast(Index(items))), documents.schema)
@@ -214,4 +220,5 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``find_leaks`` of all of ``benchmark`` in all of ``documents``; odd rows as stated there."""
     return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

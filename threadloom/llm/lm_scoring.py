@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from threadloom.llm import textkernel
 from threadloom.session import settle
 
+#: Characters of a block of texts (one text, if it is longer).
+BLOCK_CHARS = 2_000_000
 #: Characters of the corpus for each bucket of hashes.
 BUCKET_CHARS = 16_000_000
 #: Up to so many documents their labels are broadcast, at a bit each.
@@ -38,11 +40,12 @@ LEVEL = 9
 BLOCK = "block long, ids array<long>, lengths binary, texts binary, size long, n_chars long"
 
 
+@textkernel.tidied
 def _blocks(batches):
     """The texts in blocks, as UTF-8 and compressed."""
     block = TaskContext.get().partitionId() << 40
     for batch in batches:
-        for a, b, cps, bounds in textkernel.chunks(batch.column("text")):
+        for a, b, cps, bounds in textkernel.chunks(batch.column("text"), max_chars=BLOCK_CHARS):
             raw = textkernel.to_text(cps).encode()
             ids = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column("doc_id").slice(a, b - a))
             lengths, texts = np.diff(bounds).astype(np.int64).tobytes(), pa.Codec("zstd", LEVEL).compress(raw, asbytes=True)
@@ -199,4 +202,5 @@ def score_documents(documents: DataFrame, labels: DataFrame, bucket_chars: int =
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``score_documents`` of all of ``documents`` with all of ``labels``; odd rows as stated there."""
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -67,6 +67,7 @@ def _anchors(texts: pa.Array):
         yield a, b, rb, h, at, row, textkernel.gram_hashes(h, KEY)[at].view(np.int64) if len(at) else np.zeros(0, np.int64)
 
 
+@textkernel.tidied
 def _keys(batches):
     for batch in batches:
         for *_, key in _anchors(batch.column("text")):
@@ -88,6 +89,7 @@ def _stretches(texts: pa.Array, keep: IdFilter):
 
 
 def _counts(wanted):
+    @textkernel.tidied
     def run(batches):
         keep = IdFilter(wanted.value)
         held, size = [], 0
@@ -114,6 +116,7 @@ PLACE = "id long, row_no long, doc_id long, pos int"
 
 
 def _places(wanted, repeated):
+    @textkernel.tidied
     def run(batches):
         keep, again = IdFilter(wanted.value), IdFilter(repeated.value)
         number = TaskContext.get().partitionId() << 40
@@ -164,4 +167,5 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``repeated_passages`` of all of ``documents``; odd rows as stated there."""
     return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
