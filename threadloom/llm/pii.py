@@ -14,6 +14,7 @@ entity also where that is not named. Others are left alone in documents without
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from threadloom.llm import textkernel
 from threadloom.llm.jaccard_join import IdFilter, id_filter
@@ -102,8 +103,10 @@ def _terms(cps: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 BASE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 NEAR = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 IDS = pa.list_(pa.int64())
+TERMS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("removed", pa.bool_())]))
 ROW_NO = StructField("row_no", LongType())
 SPANS = StructField("base", ArrayType(StructType([StructField(c, IntegerType()) for c in ("start", "kind", "end")])))
+CHOSEN = StructField("terms", ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("removed", BooleanType())])))
 PLACES = StructField("near", ArrayType(StructType([StructField("term", LongType()), StructField("start", IntegerType()), StructField("end", IntegerType())])))
 
 
@@ -141,27 +144,47 @@ def _mentions(batches):
         number += batch.num_rows
 
 
-def _candidates(wanted):
-    """Each row with those of its terms that may be disclosing ones."""
+def _candidates(wanted, anywhere):
+    """The places of the terms that may be disclosing ones, of the rows that have any.
+
+    In rows without an identifier only those that go anywhere count.
+    """
 
     @textkernel.tidied
     def run(batches):
-        keep = IdFilter(wanted.value)
+        keep, few = IdFilter(wanted.value), IdFilter(anywhere.value)
         for batch in batches:
             for a, b, cps, bounds in textkernel.chunks(textkernel.texts_of(batch)):
                 first, last, term = _terms(cps, bounds)
-                ok = keep.has(term)
-                first, last, term = first[ok], last[ok], term[ok]
-                cut = np.searchsorted(first, bounds)
-                base = batch.column("base").slice(a, b - a)
-                near = []
-                for r, own in enumerate(base.to_pylist()):
+                base = batch.column("base").slice(a, b - a).to_pylist()
+                row = np.searchsorted(bounds, first, side="right") - 1
+                named = np.array([bool(x) for x in base], bool)[row] if len(row) else np.zeros(0, bool)
+                ok = few.has(term)
+                ok[named] |= keep.has(term[named])
+                first, last, term, row = first[ok], last[ok], term[ok], row[ok]
+                cut = np.searchsorted(row, np.arange(b - a + 1))
+                rows, near = [], []
+                for r in np.unique(row).tolist():
                     lo, hi, at = int(cut[r]), int(cut[r + 1]), int(bounds[r])
                     f, l, t = first[lo:hi] - at, last[lo:hi] - at, term[lo:hi]
-                    out = _outside([(x["start"], x["kind"], x["end"]) for x in own], f, l)
+                    out = _outside([(x["start"], x["kind"], x["end"]) for x in base[r]], f, l)
+                    rows.append(a + r)
                     near.append([{"term": x, "start": y, "end": z} for x, y, z in zip(t[out].tolist(), f[out].tolist(), l[out].tolist(), strict=True)])
-                columns = {c: batch.column(c).slice(a, b - a) for c in ("row", "row_no", "base")}
-                yield pa.RecordBatch.from_pydict(columns | {"near": pa.array(near, NEAR)})
+                if rows:
+                    yield pa.RecordBatch.from_pydict({"row_no": batch.column("row_no").take(pa.array(rows)), "near": pa.array(near, NEAR)})
+
+    return run
+
+
+def _split(held, maybe: bool):
+    """The rows whose number may be in the filter, or the others, which have no terms."""
+
+    def run(batches):
+        keep = IdFilter(held.value)
+        for batch in batches:
+            at = np.flatnonzero(keep.has(batch.column("row_no").to_numpy()) == maybe)
+            batch = batch.take(pa.array(at))
+            yield batch if maybe else batch.append_column("terms", pa.array([[]] * len(at), TERMS))
 
     return run
 
@@ -219,8 +242,9 @@ def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
     return scored.groupBy("term").agg((F.max("share") >= REMOVE).alias("removed"), F.max(2 * F.col("n_ct") >= F.col("n_t")).alias("anywhere"))
 
 
-def _located(documents: DataFrame, carry: list[str]) -> DataFrame:
-    """(row, base, terms): each row's columns ``carry`` as one, so that no name of theirs can clash."""
+def _located(documents: DataFrame, carry: list[str], finish: Callable[[Iterator], Iterator], out: list[StructField]) -> DataFrame:
+    """What ``finish`` makes of batches of (row, base, terms), as columns ``out``; ``row`` holds the
+    columns ``carry`` as one, so that no name of theirs can clash."""
     spark = documents.sparkSession
     own = [] if "text" in carry else ["text"]
     rows = documents.select(*own, F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"))
@@ -228,14 +252,23 @@ def _located(documents: DataFrame, carry: list[str]) -> DataFrame:
     # The text is kept for the terms' places, once.
     found = settle(rows.mapInArrow(_mentions, StructType([*rows.schema, ROW_NO, SPANS, *held])), "found")
     flagged = settle(disclosing_terms(found, documents.select("text")), "disclosing")
-    wanted = spark.sparkContext.broadcast(id_filter(flagged.select(F.col("term").alias("id"))).bits)
-    tagged = found.select(*own, "row", "row_no", "base").mapInArrow(_candidates(wanted), StructType([rows.schema["row"], ROW_NO, SPANS, PLACES]))
-    near = tagged.filter(F.size("near") > 0)
-    each = near.select("row_no", (F.size("base") > 0).alias("named"), F.explode("near").alias("x")).select("row_no", "named", "x.*").join(flagged, "term").filter("anywhere or named")
-    terms = each.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
-    none = F.array().cast("array<struct<start: int, end: int, removed: boolean>>")
-    with_terms = near.join(terms, "row_no", "left").withColumn("terms", F.coalesce("terms", none))
-    return with_terms.unionByName(tagged.filter(F.size("near") == 0).withColumn("terms", none)).select("row", "base", "terms")
+    filters = [spark.sparkContext.broadcast(id_filter(x.select(F.col("term").alias("id"))).bits) for x in (flagged, flagged.filter("anywhere"))]
+    near = found.select(*(own or ["row"]), "row_no", "base").mapInArrow(_candidates(*filters), StructType([ROW_NO, PLACES]))
+    named = found.filter(F.size("base") > 0).select("row_no", F.lit(True).alias("named"))
+    each = near.select("row_no", F.explode("near").alias("x")).select("row_no", "x.*").join(flagged, "term")
+    each = each.filter("anywhere").unionByName(each.filter("not anywhere").join(named, "row_no", "left_semi"))
+    terms = settle(each.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms")), "terms")
+    some = spark.sparkContext.broadcast(id_filter(terms.select(F.col("row_no").alias("id"))).bits)
+    # Only rows that may have terms meet them in a join; the others pass in one step.
+    read = found.select("row", "row_no", "base")
+    doubt = read.mapInArrow(_split(some, True), read.schema).join(terms, "row_no", "left").select("row", "base", F.coalesce("terms", F.array().cast(CHOSEN.dataType)).alias("terms"))
+    passed = _split(some, False)
+    return read.mapInArrow(lambda batches: finish(passed(batches)), StructType(out)).unionByName(doubt.mapInArrow(finish, StructType(out)))
+
+
+def _kept(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("row", "base", "terms")})
 
 
 def find_personal_data(documents: DataFrame, carry: list[str]) -> DataFrame:
@@ -247,7 +280,8 @@ def find_personal_data(documents: DataFrame, carry: list[str]) -> DataFrame:
     each count as a document. Columns that are not carried are not read. An empty table
     gives no rows.
     """
-    return _located(documents, carry).select("row.*", "base", "terms")
+    row = documents.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")).schema["row"]
+    return _located(documents, carry, _kept, [row, SPANS, CHOSEN]).select("row.*", "base", "terms")
 
 
 def _redact(batches):
@@ -277,8 +311,8 @@ def sanitise(documents: DataFrame) -> DataFrame:
     Null and empty texts stay as they are; repeated rows are changed alike. An empty
     table gives no rows.
     """
-    found = _located(documents, documents.columns)
-    clean = found.mapInArrow(_redact, StructType([found.schema["row"], StructField("clean", StringType())]))
+    row = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")).schema["row"]
+    clean = _located(documents, documents.columns, textkernel.tidied(_redact), [row, StructField("clean", StringType())])
     return clean.select(*[F.col("clean").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in documents.columns])
 
 
