@@ -180,12 +180,13 @@ def test_decontaminate_short_substituted(spark):
     rng = random.Random(9)
     items, docs, want = [], [], set()
     for i in range(400):
-        item = [f"i{i}x{k}" for k in range(rng.randint(12, 24) if i else 16)]
+        item = [f"i{i}x{k}" for k in range(rng.randint(5, 24) if i else 16)]
         copy = [*item]
-        for k in rng.sample(range(len(item)), rng.randint(0, 6)) if i else (2, 13):
+        for k in rng.sample(range(len(item)), rng.randint(0, min(6, len(item) // 2))) if i else (2, 13):
             copy[k] = "other"
         same = [x == y for x, y in zip(item, copy, strict=True)]
-        if any(sum(same[a:b]) >= 12 and 5 * sum(same[a:b]) >= 4 * (b - a) for a in range(len(same)) for b in range(a + 12, len(same) + 1)):
+        least = min(12, -(-4 * len(item) // 5))
+        if any(sum(same[a:b]) >= least and 5 * sum(same[a:b]) >= 4 * (b - a) for a in range(len(same)) for b in range(a + least, len(same) + 1)):
             want.add((i, i))
         items.append((i, " ".join(item)))
         docs.append((i, "before it " + " ".join(copy) + " after it"))
@@ -207,6 +208,27 @@ def test_decontaminate_masks_meet_every_leak():
     assert not len(left)
 
 
+def test_decontaminate_masks_meet_every_short_leak():
+    for size in range(decontaminate.MIN_ITEM, 15):
+        wrong = size - decontaminate.least_match(size)
+        left = [(1 << size) - 1 - sum(1 << i for i in c) for c in itertools.combinations(range(size), wrong)]
+        for mask in decontaminate.masks_of(size):
+            bits = sum(1 << i for i, c in enumerate(mask) if c == "1")
+            left = [x for x in left if not any((x >> s) & bits == bits for s in range(size - len(mask) + 1))]
+        assert not left, size
+
+
+def test_decontaminate_long_and_repeated(spark):
+    rng = random.Random(15)
+    item = [f"t{rng.randrange(500)}" for _ in range(40)]
+    words = [f"n{rng.randrange(10**6)}" for _ in range(60_000)]
+    text = " ".join([*words[:30_000], *item, *words[30_000:]])
+    bench = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item))], "item_id long, text string")
+    got = decontaminate.find_leaks(frame(spark, [(1, text), (1, text), (2, " ".join(words))]), bench).collect()
+    assert [(r.doc_id, r.item_id, text[r.start : r.end], r.n_match) for r in got] == [(1, 1, " ".join(item), 40)] * 4
+    assert decontaminate.find_leaks(frame(spark, []), bench).isEmpty()
+
+
 def test_suffix_dedup(spark):
     rng = random.Random(6)
     words = lambda n: [f"v{rng.randrange(4000)}" for _ in range(n)]

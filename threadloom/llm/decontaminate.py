@@ -6,7 +6,7 @@ position leaves it as it is. The masks together meet every stretch that can be a
 (tested). Where a document's seed equals one of a benchmark item, the two are laid side
 by side at that offset; of the overlap's stretches with at least ``IDENTITY`` of their
 tokens equal the one with most equal tokens is taken, and it is a leak if at least
-``MIN_MATCH`` are (all of a shorter item).
+``MIN_MATCH`` are, or ``IDENTITY`` of a short item's. Short items have masks of their own.
 
 The benchmark is joined from memory in slices of at most ``SLICE_TOKENS`` tokens; a
 larger one takes a pass over the documents for each slice.
@@ -26,6 +26,8 @@ from threadloom.llm.textkernel import LETTER, NUMBER
 
 #: 1 keeps a token, 0 ignores it (fixed values).
 SEED_MASKS = ("11101011", "110100111", "1100110101", "10100001111")
+#: Masks of items of fewer tokens than MIN_MATCH, by the least number of tokens (fixed values).
+SHORT_MASKS = {5: ("1101", "1011"), 6: ("11101", "10111"), 10: ("111101", "111011", "10100111")}
 MIN_MATCH = 12
 IDENTITY = 0.8
 #: Shorter items match far too much to say anything; they are left out.
@@ -47,6 +49,16 @@ def tokens(cps: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return textkernel.span_hashes(textkernel.lowered(cps), first, last), first, last, np.searchsorted(first, bounds)
 
 
+def masks_of(size: int) -> tuple[str, ...]:
+    """The masks that meet every leak of an item of so many tokens."""
+    return SEED_MASKS if size >= MIN_MATCH else SHORT_MASKS[max(k for k in SHORT_MASKS if k <= size)]
+
+
+def least_match(size: int) -> int:
+    """Equal tokens that make a leak of an item of so many."""
+    return min(MIN_MATCH, -(-round(100 * IDENTITY) * size // 100))
+
+
 def seeds(h: np.ndarray, mask: str) -> np.ndarray:
     """A seed for each position from which the whole mask fits into ``h``."""
     m = len(h) - len(mask) + 1
@@ -79,18 +91,14 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids, self.tokens = [], []
-        seed, item, offset = [], [], []
-        masks = set(SEED_MASKS)
+        seed, item, offset, masks = [], [], [], set()
         for id_, text in items:
             cps = textkernel.code_points(text)
             h = tokens(cps, np.array([0, len(cps)]))[0]
             if len(h) < MIN_ITEM:
                 continue
-            own = [m for m in SEED_MASKS if len(m) <= len(h)]
-            if len(h) < MIN_MATCH:  # must match whole, so its whole run is a seed
-                own = ["1" * len(h)]
-                masks.update(own)
-            for m in own:
+            for m in masks_of(len(h)):
+                masks.add(m)
                 s = seeds(h, m)
                 seed.append(s)
                 item.append(np.full(len(s), len(self.ids)))
@@ -105,8 +113,14 @@ class Index:
         self.offset = (np.concatenate(offset) if offset else np.zeros(0, np.int64))[order]
         size = 1 << int(np.clip(np.ceil(np.log2(64 * max(len(self.seed), 16))), 16, 28))
         self.mask = np.uint64(size - 1)
-        self.bits = np.zeros(size, bool)
-        self.bits[(self.seed & self.mask).astype(np.int64)] = True
+        flags = np.zeros(size, bool)
+        flags[(self.seed & self.mask).astype(np.int64)] = True
+        self.bits = np.packbits(flags, bitorder="little")
+
+    def may_hold(self, s: np.ndarray) -> np.ndarray:
+        """Whether each seed may be one of the index."""
+        at = (s & self.mask).astype(np.int64)
+        return (self.bits.take(at >> 3) >> (at & 7).astype(np.uint8)) & 1 > 0
 
     def leaks(self, cps: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, int, float]]:
         """(row, item, start, end, matching tokens, identity) of each row and item with a leak; positions are characters of the row."""
@@ -116,7 +130,7 @@ class Index:
         found = []
         for m in self.masks:
             s = seeds(h, m)
-            at = np.flatnonzero(self.bits.take((s & self.mask).astype(np.int64)))
+            at = np.flatnonzero(self.may_hold(s))
             if not len(at):
                 continue
             row = np.searchsorted(rb, at, side="right") - 1
@@ -137,7 +151,7 @@ class Index:
                 continue
             same = h[a + diagonal + x : a + diagonal + y] == own[x:y]
             start, end, match = best_stretch(same)
-            if match >= min(MIN_MATCH, len(own)):
+            if match >= least_match(len(own)):
                 i, j = a + diagonal + x + start, a + diagonal + x + end - 1
                 got = (match, int(first[i] - bounds[row]), int(last[j] - bounds[row]), match / (end - start))
                 if got > best.get((row, item), (0, 0, 0, 0.0)):
