@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from threadloom.llm import bpe_codec, chat_format, cross_polytope, decontaminate, jaccard_join, language_id, lm_scoring, pii, suffix_dedup, token_counts
+from threadloom.llm import bpe_codec, cross_polytope, decontaminate, jaccard_join, language_id, lm_scoring, pii, suffix_dedup, token_counts
 
 PIECES = ["'s", "'re", "'", "  ", " ", "\n", "\t", "a", "B", "é", "1", "23", "!", "…", "<|endoftext|>", "<|endof", "'ll", "日本", "İ", "é", "😀", " the", "word", "\x1c"]
 WORDS = [f"w{i}" for i in range(40)]
@@ -299,22 +299,6 @@ def test_lm_scoring_counts_every_ngram(spark):
         assert sorted((str(r.doc_id), r.n_tokens, *(x if x is None else round(x, 9) for x in (r.target_loss, r.background_loss))) for r in got) == want
 
 
-def test_chat_calls(spark):
-    rows = [
-        (1, 0, "system", "be kind"),
-        (1, 1, "assistant", '{"tool_calls": [{"id": "a", "name": "add", "arguments": "{\\"x\\": 1}"}, {"id": "b", "name": "add", "arguments": "{\\"x\\": \\"no\\"}"}]}'),
-        (1, 0, "tool", '{"tool_call_id": "a", "content": "2"}'),
-        (1, 2, "tool", '{"tool_call_id": "zz", "content": "lost"}'),
-        (2, 0, "user", "hi"), (2, 1, "assistant", "hello"), (2, 1, "assistant", "hello"), (3, 5, "user", None), (None, 1, "user", "x"),
-    ]
-    schemas = chat_format.schema_table(spark, [("add", "x", "integer", True), ("reply", "text", "string", True)])
-    got = {(r.conv_id, r.kind, r.call_id): r for r in chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), schemas).collect()}
-    assert got[1, "call", "a"].valid and not got[1, "call", "b"].valid and got[1, "call", "a"].linked and not got[1, "call", "b"].linked
-    assert got[1, "result", "a"].position > got[1, "call", "a"].position and not got[1, "result", "zz"].linked
-    assert got[2, "result", "turn-0"].line == '{"call_id":"turn-0","content":"hello","linked":true,"role":"assistant"}'
-    assert len(got) == 8
-
-
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 16)).astype(np.float32)
