@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from threadloom.operators import communities, graph
@@ -64,3 +65,35 @@ def test_hierarchy_rules(spark):
 def test_ancestors(spark):
     p = spark.createDataFrame([(1, 2), (2, 3), (4, None)], "community long, parent long")
     assert sorted(map(tuple, graph.ancestors(p).collect())) == [(1, 2, 1), (1, 3, 2), (2, 3, 1)]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "community long, parent long")
+    assert graph.ancestors(chain).filter("community = 0").count() == 40
+    assert graph.ancestors(p.filter("false")).isEmpty()
+    with pytest.raises(ValueError):
+        graph.ancestors(spark.createDataFrame([(1, 2), (2, 1)], "community long, parent long"))
+
+
+def test_fractional_weights(spark):
+    e = spark.createDataFrame([(1, 2, 0.6), (2, 3, 0.6)], "src long, dst long, weight double")
+    assert {r.node: r.degree for r in graph.weighted_degree(e).collect()} == {1: 0.6, 2: 1.2, 3: 0.6}
+    m = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "node long, community long")
+    assert graph.contract(e, m).first().weight == 0.6
+    got = {r.community: (r.volume, r.internal, round(r.conductance, 6)) for r in graph.conductance(e, m).collect()}
+    assert got[0][1] == 0.6 and got[0][2] == 1.0
+
+
+def test_numbers_are_dense(spark):
+    names = spark.range(0, 1000).selectExpr("id * 7 % 1009 as community").repartition(5)
+    got = sorted((r.community, r.new) for r in communities.numbered(names, 3).collect())
+    assert [n for _, n in got] == list(range(3, 1003))
+    assert communities.numbered(names.filter("false")).isEmpty()
+
+
+def test_partition_finds_a_ring_of_cliques(spark):
+    own = [(a, b, 1) for base in range(0, 120, 10) for a in range(base, base + 6) for b in range(a + 1, base + 6)]
+    ring = [(base + 5, (base + 10) % 120, 1) for base in range(0, 120, 10)]
+    e = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in own + ring], "src long, dst long, weight long")
+    nodes = e.selectExpr("explode(array(src, dst)) as node").distinct()
+    got = {r.node: r.community for r in communities.partition(e, nodes).collect()}
+    groups = {frozenset(n for n in got if got[n] == c) for c in got.values()}
+    assert all(len({got[n] for n in range(base, base + 6)}) == 1 for base in range(0, 120, 10)) and len(groups) >= 6
+    assert all(c == min(n for n in got if got[n] == c) for c in got.values())

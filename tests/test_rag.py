@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from threadloom.functions import splitters
 from threadloom.operators import graph
 from threadloom.plans import rag
 
@@ -47,7 +48,7 @@ def test_settings_and_paths(tmp_path, monkeypatch):
     assert rag.safe_path(str(tmp_path), "a/b").endswith("a/b")
     with pytest.raises(ValueError):
         rag.safe_path(str(tmp_path), f"../{tmp_path.name}2/x")
-    assert rag.splitter("") is rag.splitter("recursive")
+    assert splitters.splitter("") == splitters.splitter("no such") == "recursive"
 
 
 def test_cached_replies(spark, tmp_path):

@@ -57,9 +57,31 @@ def test_text_expressions(spark):
     assert (row.n, row.j, row.t, row.w, row.none, row.empty, row.s) == ("ab c", 1, True, ["x", "y", "z"], [], "", '{"a": 1}')
 
 
-def test_splitters():
+def test_pieces():
     assert splitters.recursive("a. b. c. " * 50, 40) and max(map(len, splitters.recursive("word word. " * 50, 40))) <= 40
-    assert splitters.recursive("", 10) == [] and splitters.sentences("One. Two!", 10) == ["One.", "Two!"]
+    assert splitters.recursive("", 10) == [] and splitters.recursive("one", 10) == ["one"] and splitters.recursive("x" * 50, 10) == ["x" * 50]
+    assert splitters.recursive("aa. bb. cc. dd. ", 8, 4) == ["aa. bb.", "bb. cc.", "cc. dd."]
+    assert splitters.recursive("one\n\n" + "two。three four, five six\n" * 2, 12) == ["one", "two。", "three four,", "five six", "two。", "three four,", "five six"]
+    assert splitters.recursive("a\n\n\nb", 20) == ["a\nb"]
+
+
+def test_sentences(spark):
+    texts = ["One. Two! “Three？” he said；四。五", "", None, "a, b, c  " + "long " * 3, "x\ny\n\n\n\nz  "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = df.select("doc_id", splitters.sentences("text", 12).alias("s"), splitters.sentences("text", 250, pdf=True).alias("p"), splitters.quoted_sentences("text").alias("q")).orderBy("doc_id").collect()
+    assert got[0].s == ["One.", " Two!", " “Three？”", " he said；", "四。", "五"] and got[1].s == [] == got[2].s
+    assert got[3].s == ["a,", " b,", " c  ", "long ", "long ", "long"] or "".join(got[3].s) == texts[3].rstrip()
+    assert got[4].s == ["x", "y", "z"] and got[4].p == ["x y z"]
+    assert got[0].q == ["One. Two! “Three？”", " he said；四。", "五"]
+
+
+def test_documents_to_texts(spark):
+    rows = [(1, "a,b. c", "x.CSV"), (2, "1 Heads\n\nbody one. body two", "y.md"), (3, None, "z.md"), (4, "", "w.csv")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    got = sorted((r.doc_id, r.pos, r.content) for r in splitters.documents_to_texts(df, "recursive", 12, 0, titles=True).collect())
+    assert got == [(1, 0, "a,b. c"), (2, 0, "1 Heads"), (2, 1, "1 Heads body one."), (2, 2, "1 Heads body two")]
+    own = splitters.split_rows(df, lambda t, size, overlap: t.split(" "), 5, 0)
+    assert {(r.doc_id, r.piece) for r in own.collect()} >= {(1, "a,b."), (1, "c")}
 
 
 def test_providers(spark):

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import COOCCURRENCE, SEPARATOR, node_id, normalize_entity, strip
+from threadloom.session import settle
 
 
 def mentions(extractions: DataFrame) -> DataFrame:
@@ -19,14 +20,30 @@ def mentions(extractions: DataFrame) -> DataFrame:
     return e.filter("raw <> ''").select("chunk_id", "pos", "epos", "raw", node_id("raw").alias("node_id"), normalize_entity("raw").alias("norm"))
 
 
-def vertices(extractions: DataFrame) -> DataFrame:
-    """node_id, name (first spelling), normalized_name, source_ids (sorted), occurrence_count."""
+def vertices(extractions: DataFrame, sources: bool = True) -> DataFrame:
+    """node_id, name (first spelling), normalized_name, occurrence_count and, with ``sources``, source_ids (sorted).
+
+    source_ids puts all chunks of a node into one row; ``node_chunks`` has them as rows.
+    """
     m = mentions(extractions)
-    return m.groupBy("node_id", F.col("norm").alias("normalized_name")).agg(
-        F.min_by("raw", F.struct("pos", "epos")).alias("name"),
-        F.array_sort(F.collect_set("chunk_id")).alias("source_ids"),
-        F.count("*").alias("occurrence_count"),
-    )
+    out = m.groupBy("node_id", F.col("norm").alias("normalized_name")).agg(F.min_by("raw", F.struct("pos", "epos")).alias("name"), F.count("*").alias("occurrence_count"))
+    if not sources:
+        return out
+    return out.join(_gathered(node_chunks(extractions), "node_id"), "node_id", "left").select("node_id", "normalized_name", "name", "source_ids", "occurrence_count")
+
+
+def node_chunks(extractions: DataFrame) -> DataFrame:
+    """(node_id, chunk_id), each once: which chunks name a node."""
+    return mentions(extractions).select("node_id", "chunk_id").distinct()
+
+
+def edge_chunks(events: DataFrame) -> DataFrame:
+    """(src, dst, chunk_id), each once: which chunks an edge comes from."""
+    return events.select("src", "dst", "chunk_id").distinct()
+
+
+def _gathered(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list("chunk_id")).alias("source_ids"))
 
 
 def edge_events(extractions: DataFrame) -> DataFrame:
@@ -50,27 +67,31 @@ def edge_events(extractions: DataFrame) -> DataFrame:
     return both.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "chunk_id", "pos", "phase", "seq", "w", "type", "description")
 
 
-def edges(extractions: DataFrame) -> DataFrame:
-    """src, dst, weight, edge_type (of the first event), source_ids and relation.
+def edges(extractions: DataFrame, sources: bool = True) -> DataFrame:
+    """src, dst, weight, edge_type (of the first event), relation and, with ``sources``, source_ids.
 
     relation starts with the first event's description (or the co-occurrence label),
-    and later explicit descriptions are added unless already contained. They are
-    reduced to their first occurrences before an edge's are brought together.
+    and later explicit descriptions are added unless already contained. Events are
+    made once and first combined per edge and description, so that an edge brings
+    together its distinct descriptions only. source_ids puts all chunks of an edge into
+    one row; ``edge_chunks`` has them as rows.
     """
     e = edge_events(extractions)
     order = F.struct("pos", "phase", "seq")
-    main = e.groupBy("src", "dst").agg(
-        F.sum("w").cast("long").alias("weight"),
-        F.min_by("type", order).alias("edge_type"),
-        F.min_by("description", order).alias("first_description"),
-        F.array_sort(F.collect_set("chunk_id")).alias("source_ids"),
+    said = F.when(F.col("phase") == 0, F.col("description"))
+    part = e.groupBy("src", "dst", said.alias("said")).agg(F.sum("w").alias("w"), F.min(order).alias("at"), F.min_by("type", order).alias("type"))
+    main = part.groupBy("src", "dst").agg(
+        F.sum("w").alias("weight"),
+        F.min_by("type", "at").alias("edge_type"),
+        F.min_by("said", "at").alias("first_description"),
+        F.array_sort(F.collect_list(F.when(F.col("said") != "", F.struct("at", F.col("said").alias("description"))))).alias("all"),
     )
-    said = e.filter("phase = 0 and description <> ''").groupBy("src", "dst", "description").agg(F.min(order).alias("at"))
-    said = said.groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct("at", "description"))).alias("said"))
     start = F.when(F.col("edge_type") == "explicit", F.col("first_description")).otherwise(F.lit(COOCCURRENCE))
-    none = F.array().cast("array<struct<at: struct<pos: bigint, phase: int, seq: bigint>, description: string>>")
-    fold = F.aggregate(F.coalesce("said", none), start, lambda a, x: F.when(F.contains(a, x["description"]), a).when(a == "", x["description"]).otherwise(F.concat(a, F.lit(SEPARATOR), x["description"])))
-    return main.join(said, ["src", "dst"], "left").select("src", "dst", "weight", "edge_type", "source_ids", fold.alias("relation"))
+    fold = F.aggregate("all", start, lambda a, x: F.when(F.contains(a, x["description"]), a).when(a == "", x["description"]).otherwise(F.concat(a, F.lit(SEPARATOR), x["description"])))
+    main = main.select("src", "dst", "weight", "edge_type", fold.alias("relation"))
+    if not sources:
+        return main
+    return main.join(_gathered(edge_chunks(e), "src", "dst"), ["src", "dst"], "left").select("src", "dst", "weight", "edge_type", "source_ids", "relation")
 
 
 def cooccurrence(rows: DataFrame, group: str, entity: str) -> DataFrame:
@@ -82,7 +103,7 @@ def cooccurrence(rows: DataFrame, group: str, entity: str) -> DataFrame:
 
 def weighted_degree(edge: DataFrame) -> DataFrame:
     ends = edge.select(F.explode(F.array("src", "dst")).alias("node"), "weight")
-    return ends.groupBy("node").agg(F.sum("weight").cast("long").alias("degree"))
+    return ends.groupBy("node").agg(F.sum("weight").alias("degree"))
 
 
 def isolates(nodes: DataFrame, edge: DataFrame) -> DataFrame:
@@ -106,34 +127,55 @@ def with_communities(edge: DataFrame, members: DataFrame) -> DataFrame:
 def contract(edge: DataFrame, members: DataFrame) -> DataFrame:
     """src, dst, weight between communities: the summed weight that crosses."""
     e = with_communities(edge, members).filter("cu <> cv")
-    return e.groupBy(F.least("cu", "cv").alias("src"), F.greatest("cu", "cv").alias("dst")).agg(F.sum("weight").cast("long").alias("weight"))
+    return e.groupBy(F.least("cu", "cv").alias("src"), F.greatest("cu", "cv").alias("dst")).agg(F.sum("weight").alias("weight"))
 
 
 def conductance(edge: DataFrame, members: DataFrame) -> DataFrame:
     """community, volume, internal, cut, size and conductance of each community of ``members``.
 
-    A community of the whole volume has 0, one without volume 1, in this order.
+    A community of the whole volume has 0, one without volume 1, in this order. Volumes
+    and cuts are of the type that sums of the weights have.
     """
-    volume = members.join(weighted_degree(edge), "node", "left").groupBy("community").agg(F.sum(F.coalesce("degree", F.lit(0))).cast("long").alias("volume"), F.count("*").alias("size"))
-    inside = with_communities(edge, members).filter("cu = cv").groupBy(F.col("cu").alias("community")).agg(F.sum("weight").cast("long").alias("internal"))
-    total = edge.agg(F.coalesce(2 * F.sum("weight"), F.lit(0)).cast("long").alias("total"))
-    out = volume.join(inside, "community", "left").withColumn("internal", F.coalesce("internal", F.lit(0).cast("long"))).crossJoin(F.broadcast(total))
-    out = out.withColumn("cut", F.greatest(F.lit(0).cast("long"), F.col("volume") - 2 * F.col("internal")))
+    volume = members.join(weighted_degree(edge), "node", "left").groupBy("community").agg(F.sum(F.coalesce("degree", F.lit(0))).alias("volume"), F.count("*").alias("size"))
+    inside = with_communities(edge, members).filter("cu = cv").groupBy(F.col("cu").alias("community")).agg(F.sum("weight").alias("internal"))
+    total = edge.agg(F.coalesce(2 * F.sum("weight"), F.lit(0)).alias("total"))
+    out = volume.join(inside, "community", "left").withColumn("internal", F.coalesce("internal", F.lit(0))).crossJoin(F.broadcast(total))
+    out = out.withColumn("cut", F.greatest(F.lit(0), F.col("volume") - 2 * F.col("internal")))
     phi = F.when(F.col("volume") == F.col("total"), 0.0).when(F.col("volume") == 0, 1.0).otherwise(F.try_divide(F.col("cut").cast("double"), F.least("volume", F.col("total") - F.col("volume")).cast("double")))
     return out.select("community", "size", "volume", "internal", "cut", phi.alias("conductance"))
 
 
-def ancestors(parents: DataFrame, deepest: int = 32) -> DataFrame:
-    """(community, ancestor, distance) over (community, parent) rows, nearest first."""
-    up = parents.filter("parent is not null").select("community", F.col("parent").alias("ancestor"))
-    step, out = up.withColumn("distance", F.lit(1)), []
-    for _ in range(deepest):
+def ancestors(parents: DataFrame) -> DataFrame:
+    """(community, ancestor, distance) over (community, parent) rows of a forest, nearest first, however deep it is.
+
+    A circle of parents has no top and is an error.
+    """
+    up = settle(parents.filter("parent is not null").select("community", F.col("parent").alias("ancestor")), "parents")
+    n = up.select("community").distinct().count()
+    step, out = up.withColumn("distance", F.lit(1)), [up.withColumn("distance", F.lit(1))]
+    for depth in range(2, n + 2):
+        nxt = step.alias("s").join(up.alias("u"), F.col("s.ancestor") == F.col("u.community")).select("s.community", "u.ancestor", F.lit(depth).alias("distance"))
+        step = settle(nxt, "ancestors")
+        if step.isEmpty():
+            return reduce(DataFrame.unionByName, out)
         out.append(step)
-        nxt = step.alias("s").join(up.alias("u"), F.col("s.ancestor") == F.col("u.community")).select("s.community", "u.ancestor", (F.col("s.distance") + 1).alias("distance"))
-        if nxt.isEmpty():
-            break
-        step = nxt
-    return reduce(DataFrame.unionByName, out)
+    if n:
+        raise ValueError("parents form a circle")
+    return out[0]
+
+
+def community_levels(communities: DataFrame) -> DataFrame:
+    """level, its number of communities, frozen ones, single nodes and mean conductance."""
+    phi = F.col("conductance")
+    return communities.groupBy("level").agg(F.count("*").alias("n"), F.count_if("frozen").alias("n_frozen"), F.count_if(F.col("size") == 1).alias("n_single"), F.round(F.avg(phi), 4).alias("mean_conductance"))
+
+
+def verify_conductance(edge: DataFrame, communities: DataFrame, members: DataFrame, most: int = 5) -> DataFrame:
+    """community, stored, counted and agrees of the first ``most`` communities by id: a spot check."""
+    some = communities.select("community", F.col("conductance").alias("stored")).orderBy("community").limit(most)
+    own = members.join(some.select("community"), "community", "left_semi")
+    again = conductance(edge, own).select("community", F.round("conductance", 4).alias("counted"))
+    return some.join(again, "community").withColumn("agrees", F.abs(F.col("stored") - F.col("counted")) < 1e-4)
 
 
 def graph_health(nodes: DataFrame, edge: DataFrame, component: DataFrame) -> DataFrame:
@@ -142,7 +184,7 @@ def graph_health(nodes: DataFrame, edge: DataFrame, component: DataFrame) -> Dat
     ``component`` has (id, root) of the nodes that edges touch.
     """
     n = nodes.agg(F.count("*").alias("n_nodes"))
-    e = edge.agg(F.count("*").alias("n_edges"), F.min("weight").cast("long").alias("min_weight"), F.max("weight").cast("long").alias("max_weight"), F.avg("weight").alias("avg_weight"))
+    e = edge.agg(F.count("*").alias("n_edges"), F.min("weight").alias("min_weight"), F.max("weight").alias("max_weight"), F.avg("weight").alias("avg_weight"))
     alone = isolates(nodes, edge).agg(F.count("*").alias("n_isolates"))
     sizes = component.groupBy("root").agg(F.count("*").alias("size")).agg(F.count("*").alias("linked"), F.max("size").alias("largest"))
     one = n.crossJoin(e).crossJoin(alone).crossJoin(sizes)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from threadloom.functions.text import squared_distance, tokens
+from threadloom.functions.text import tokens
+from threadloom.session import settle
 
 #: Constants of BM25 and of rank fusion (fixed values).
 K1, B, EPSILON, RRF = 1.5, 0.75, 0.25, 60
@@ -19,34 +23,68 @@ def top(scored: DataFrame, k: int, *order) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _nearest(shared, k: int):
+    """Of each batch the k nearest vectors of every query of the block: a matrix product tells which may be
+    among them, and their distances are then summed exactly."""
+
+    def run(batches):
+        ids, q = shared.value
+        length = (q * q).sum(1)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                x = _matrix(part.column("v"))
+                size = (x * x).sum(1)
+                near = length[:, None] + size[None, :] - 2 * (q @ x.T)
+                limit = np.partition(near, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(q), np.inf)
+                row, col = np.nonzero(near <= (limit + 1e-9 * (1 + length + size.max(initial=0)))[:, None])
+                d = ((q[row] - x[col]) ** 2).sum(1)
+                yield pa.RecordBatch.from_pydict({"query_id": ids.take(pa.array(row)), "vec_id": part.column("vec_id").take(pa.array(col)), "distance": pa.array(d)})
+
+    return run
+
+
 def vector_topk(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, distance, rank: the k nearest by squared Euclidean distance, ties to the smaller id.
 
     ``queries`` has (query_id, q), ``base`` (vec_id, v). Queries go to the tasks in blocks
-    of at most ``QUERY_BLOCK``; each task keeps k rows per query before the shuffle.
+    of at most ``QUERY_BLOCK`` and each batch of vectors keeps few rows per query before the
+    shuffle. Vectors that are null, or of another width than the query's, take no part.
     """
-    spark, out, held = base.sparkSession, None, []
+    spark = base.sparkSession
+    known = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("vec_id", base.schema["vec_id"].dataType), StructField("distance", DoubleType())])
+    out, held = spark.createDataFrame([], known), []
 
     def search(rows):
-        block = F.broadcast(spark.createDataFrame(rows, queries.schema))
-        pairs = base.join(block, F.lit(True)).select("query_id", "vec_id", squared_distance("q", "v").alias("distance"))
-        return top(pairs, k, "distance", "vec_id")
-
-    for r in queries.toLocalIterator():
+        found = spark.createDataFrame([], known)
+        for width in sorted({len(r.q) for r in rows}):
+            own = [r for r in rows if len(r.q) == width]
+            block = spark.sparkContext.broadcast((pa.array([r.query_id for r in own]), np.array([r.q for r in own], np.float64)))
+            same = base.select("vec_id", "v").filter(F.size("v") == width).filter(F.forall("v", lambda x: x.isNotNull()))
+            found = found.union(same.mapInArrow(_nearest(block, k), known))
+        return found
+
+    for r in queries.select("query_id", "q").filter("q is not null").toLocalIterator():
         held.append(r)
         if len(held) == QUERY_BLOCK:
-            out, held = (search(held) if out is None else out.unionByName(search(held))), []
-    if held or out is None:
-        out = search(held) if out is None else out.unionByName(search(held))
-    return out
+            out, held = out.union(search(held)), []
+    return top(out.union(search(held)) if held else out, k, "distance", "vec_id")
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
-    """token, df, n_docs, avg_length over (doc_id, text): what BM25 takes from the corpus."""
-    t = docs.select("doc_id", tokens("text").alias("t"))
-    total = t.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avg_length"))
-    df = t.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(total))
+    """token, df, n_docs, avg_length over (doc_id, text): what BM25 takes from the corpus.
+
+    Each text is read once: a document's first distinct token carries its length.
+    """
+    t = docs.select(tokens("text").alias("t"))
+    t = t.select(F.size("t").alias("size"), F.posexplode(F.array_distinct("t")).alias("pos", "token"))
+    df = settle(t.groupBy("token").agg(F.count("*").alias("df"), F.sum(F.when(F.col("pos") == 0, F.col("size")).otherwise(0)).alias("length")), "vocabulary")
+    total = docs.agg(F.count("*").alias("n_docs")).crossJoin(df.agg(F.sum("length").alias("length")))
+    return df.select("token", "df").crossJoin(F.broadcast(total.select("n_docs", (F.col("length") / F.col("n_docs")).alias("avg_length"))))
 
 
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -72,12 +110,14 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, doc_id, score, rank: k documents for each query; those that share no token score 0.
 
-    Zero-score documents only fill up, smallest ids first; k of them and one for each hit suffice.
+    Zero-score documents only fill up queries with fewer than k hits, smallest ids first; k of them and one for
+    each hit suffice.
     """
-    hits = bm25(docs, queries)
+    hits = settle(bm25(docs, queries), "hits")
     best = top(hits, k, F.desc("score"), "doc_id").drop("rank")
     spare = docs.select("doc_id").orderBy("doc_id").limit(2 * k + 1)
-    zero = queries.select("query_id").distinct().join(F.broadcast(spare), F.lit(True)).join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
+    lacking = queries.select("query_id").distinct().join(hits.groupBy("query_id").count().filter(F.col("count") >= k), "query_id", "left_anti")
+    zero = lacking.join(F.broadcast(spare), F.lit(True)).join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
     return top(best.unionByName(zero), k, F.desc("score"), "doc_id")
 
 
@@ -106,3 +146,40 @@ def graph_hybrid(summary_hits: DataFrame, entity_hits: DataFrame, k: int) -> Dat
     b = entity_hits.select("query_id", F.explode("chunks").alias("chunk_id"), (weight / (RRF + 1)).alias("s"))
     total = a.unionByName(b).groupBy("query_id", "chunk_id").agg(F.round(F.sum("s"), 9).alias("score"))
     return top(total, k, F.desc("score"), "chunk_id")
+
+
+def entity_probe(keywords: DataFrame, entities: DataFrame) -> DataFrame:
+    """The rows of ``keywords`` (query_id, keyword) whose keyword is the very name of an entity."""
+    return keywords.join(entities.select(F.col("name").alias("keyword")).distinct(), "keyword", "left_semi").select("query_id", "keyword")
+
+
+def entity_hits(keywords: DataFrame, keyword_vectors: DataFrame, entities: DataFrame) -> DataFrame:
+    """query_id, keyword, name and chunks: the entity nearest to each keyword that is an entity's name.
+
+    ``keyword_vectors`` has (keyword, q), ``entities`` (entity_id, name, v, chunks); ties go to
+    the smaller entity_id. Each keyword is searched once, whatever number of queries asks for it.
+    """
+    asked = settle(entity_probe(keywords, entities), "asked")
+    vectors = keyword_vectors.join(asked.select("keyword").distinct(), "keyword", "left_semi").select(F.col("keyword").alias("query_id"), "q")
+    nearest = vector_topk(vectors, entities.select(F.col("entity_id").alias("vec_id"), "v"), 1).select(F.col("query_id").alias("keyword"), F.col("vec_id").alias("entity_id"))
+    return asked.join(nearest, "keyword").join(entities.select("entity_id", "name", "chunks"), "entity_id").select("query_id", "keyword", "name", "chunks")
+
+
+def graph_search(queries: DataFrame, keywords: DataFrame, keyword_vectors: DataFrame, summaries: DataFrame, entities: DataFrame, k: int, communities: int = 3) -> DataFrame:
+    """query_id, chunk_id, score, rank: the graph-aware retriever with its searches.
+
+    ``queries`` has (query_id, q), ``summaries`` (community, v, chunks); the rest as in
+    ``entity_hits``. Chunks of the ``communities`` nearest summaries and of the nearest entities
+    are scored by ``graph_hybrid``.
+    """
+    near = vector_topk(queries, summaries.select(F.col("community").alias("vec_id"), "v"), communities)
+    hits = near.select("query_id", "rank", F.col("vec_id").alias("community")).join(summaries.select("community", "chunks"), "community")
+    return graph_hybrid(hits, entity_hits(keywords, keyword_vectors, entities), k)
+
+
+def search_results(hits: DataFrame) -> DataFrame:
+    """kind, query_id, chunk_id, chunk_ids, text, score of hits of a knowledge base (query_id, page_content,
+    chunk_id, source_chunk_ids as JSON, score): a chunk if it has a chunk_id, else a summary of chunks."""
+    own = F.coalesce(F.col("chunk_id").cast("string") != "", F.lit(False))
+    listed = F.coalesce(F.from_json("source_chunk_ids", "array<string>"), F.array().cast("array<string>"))
+    return hits.select(F.when(own, "chunk").otherwise("summary").alias("kind"), "query_id", F.when(own, F.col("chunk_id").cast("string")).alias("chunk_id"), F.when(~own, listed).alias("chunk_ids"), F.col("page_content").alias("text"), "score")

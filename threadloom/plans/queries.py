@@ -11,7 +11,9 @@ from threadloom.functions import splitters, text
 from threadloom.operators import communities, evaluate, graph, retrieval
 from threadloom.operators.components import components
 from threadloom.plans.fixtures import MENTIONS_SQL, PARTS_SQL, SUPPLIERS_SQL, extractions, table
-from threadloom.sources.loaders import pages_text, reader_of
+from threadloom.session import settle
+from threadloom.sources.loaders import last_label, pages_text, reader_of
+from threadloom.sources.loaders import predicted_labels as chunk_labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,22 +88,23 @@ def tuple_record_parse(spark, d):
     return r.select("n_nationkey", F.col("r")[0].alias("kind"), F.col("r")[1].alias("a"), F.col("r")[2].alias("b"), F.size("r").alias("arity"))
 
 
-TITLE_SQL = """lines AS (SELECT doc_id, CAST(doc_id % 7 AS VARCHAR) || ' ' || split_part(text, ' ', 1) AS t FROM documents)"""
+TITLE_SQL = """lines AS (SELECT doc_id, pos, CAST(doc_id % 7 AS VARCHAR) || ' ' || t AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents))"""
 
 
-@query(f"""WITH {TITLE_SQL} SELECT doc_id, t, length(t) > 0 AND NOT regexp_matches(t, '[^\\pL\\pN_\\s]$') AND length(t) <= 20 AND NOT regexp_full_match(t, '\\pN+')
+@query(f"""WITH {TITLE_SQL} SELECT doc_id, CAST(pos AS INT) AS pos, length(t) > 0 AND NOT regexp_matches(t, '[^\\pL\\pN_\\s]$') AND length(t) <= 20 AND NOT regexp_full_match(t, '\\pN+')
 AND length(regexp_replace(t, '[^\\pL]', '', 'g')) >= 0.5 * length(regexp_replace(t, '\\s', '', 'g')) AND regexp_matches(substring(t, 1, 5), '\\pN') AS is_title FROM lines""")
 def title_classify(spark, d):
-    t = F.concat((F.col("doc_id") % 7).cast("string"), F.lit(" "), F.split_part("text", F.lit(" "), F.lit(1)))
-    return table(spark, d, "documents").select("doc_id", t.alias("t")).withColumn("is_title", text.is_title("t"))
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    t = F.concat((F.col("doc_id") % 7).cast("string"), F.lit(" "), F.col("line"))
+    return lines.select("doc_id", "pos", text.is_title(t).alias("is_title"))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, text, role = 'system' OR turn % 4 = 0 AS is_title FROM conversations),
-w AS (SELECT *, last_value(CASE WHEN is_title THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS title FROM c)
+@query("""WITH c AS (SELECT conv_id, turn, role, text, role = 'system' OR turn % 4 = 0 AS is_title FROM conversations),
+w AS (SELECT *, last_value(CASE WHEN is_title THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS title FROM c)
 SELECT conv_id, turn, CASE WHEN NOT is_title AND title IS NOT NULL THEN title || ' ' || text ELSE text END AS content FROM w""")
 def title_carry_forward(spark, d):
     c = table(spark, d, "conversations").withColumn("is_title", (F.col("role") == "system") | (F.col("turn") % 4 == 0))
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     c = c.withColumn("title", F.last(F.when(F.col("is_title"), F.col("text")), ignorenulls=True).over(w))
     return c.select("conv_id", "turn", F.when(~F.col("is_title") & F.col("title").isNotNull(), F.concat_ws(" ", "title", "text")).otherwise(F.col("text")).alias("content"))
 
@@ -124,9 +127,9 @@ def citation_format(spark, d):
     return out.select(F.col("r_regionkey").alias("query_id"), F.coalesce("i", F.lit(0)).cast("long").alias("i"), F.coalesce(cite, F.lit("no source found")).alias("citation"))
 
 
-@query("""SELECT item_id AS query_id, coalesce((SELECT string_agg(d.doc_id || ':' || substring(d.text, 1, 20), chr(10) || chr(10) ORDER BY d.doc_id) FROM documents d WHERE contains(d.text, b.text)), 'empty') AS context FROM benchmark b""")
+@query("""SELECT item_id AS query_id, coalesce((SELECT string_agg(d.doc_id || ':' || d.text, chr(10) || chr(10) ORDER BY d.doc_id, d.text) FROM documents d WHERE contains(d.text, b.text)), 'empty') AS context FROM benchmark b""")
 def prompt_context(spark, d):
-    hits = truth(spark, d).join(table(spark, d, "documents").select("doc_id", F.substring("text", 1, 20).alias("t")), "doc_id")
+    hits = truth(spark, d).join(table(spark, d, "documents").select("doc_id", F.col("text").alias("t")), "doc_id")
     lines = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "t"))).alias("x"))
     lines = lines.select("query_id", F.array_join(F.transform("x", lambda r: F.concat(r["doc_id"].cast("string"), F.lit(":"), r["t"])), "\n\n").alias("context"))
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(lines, "query_id", "left").select("query_id", F.coalesce("context", F.lit("empty")).alias("context"))
@@ -160,19 +163,22 @@ def vertices_build(spark, d):
     return graph.vertices(extractions(spark, d)).withColumn("source_ids", F.array_join("source_ids", ","))
 
 
-@query(f"WITH {PARTS_SQL} SELECT src, dst, weight FROM pe")
+@query("""WITH op AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem)
+SELECT a.p AS src, b.p AS dst, count(*) AS weight FROM op a JOIN op b ON a.o = b.o AND a.p < b.p GROUP BY ALL""")
 def edges_cooccurrence(spark, d):
-    return part_edges(spark, d)
+    return graph.cooccurrence(table(spark, d, "lineitem"), "l_orderkey", "l_partkey")
 
 
 @query(f"WITH {MENTIONS_SQL} SELECT src, dst, CAST(sum(w) AS BIGINT) AS weight, count(DISTINCT chunk) AS n_sources FROM e GROUP BY src, dst")
 def edges_explicit_weight(spark, d):
-    return graph.edges(extractions(spark, d)).select("src", "dst", "weight", F.size("source_ids").cast("long").alias("n_sources"))
+    x = extractions(spark, d)
+    n = graph.edge_chunks(graph.edge_events(x)).groupBy("src", "dst").agg(F.count("*").alias("n_sources"))
+    return graph.edges(x, sources=False).select("src", "dst", "weight").join(n, ["src", "dst"])
 
 
 @query(f"WITH {MENTIONS_SQL} SELECT src, dst, arg_min(ty, struct_pack(a := chunk, b := phase, c := seq)) AS edge_type FROM e GROUP BY src, dst")
 def edge_first_type(spark, d):
-    return graph.edges(extractions(spark, d)).select("src", "dst", "edge_type")
+    return graph.edges(extractions(spark, d), sources=False).select("src", "dst", "edge_type")
 
 
 @query(f"""WITH {MENTIONS_SQL}, o AS (SELECT src, dst, ty, d, row_number() OVER (PARTITION BY src, dst ORDER BY chunk, phase, seq) AS k FROM e),
@@ -180,7 +186,7 @@ f AS (SELECT src, dst, CASE WHEN ty = 'explicit' THEN d ELSE 'co-occurrence' END
 s AS (SELECT src, dst, list(d ORDER BY k) AS ds FROM (SELECT src, dst, d, min(k) AS k FROM o WHERE ty = 'explicit' GROUP BY src, dst, d) GROUP BY src, dst)
 SELECT src, dst, list_reduce(list_prepend(start, coalesce(ds, [])), lambda a, x: CASE WHEN contains(a, x) THEN a WHEN a = '' THEN x ELSE a || '；' || x END) AS relation FROM f LEFT JOIN s USING (src, dst)""")
 def edge_relation_fold(spark, d):
-    return graph.edges(extractions(spark, d)).select("src", "dst", "relation")
+    return graph.edges(extractions(spark, d), sources=False).select("src", "dst", "relation")
 
 
 def part_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -260,8 +266,10 @@ def _frozen(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{CONDUCTANCE_SQL} SELECT community, size, CAST(round(phi, 4) AS DOUBLE) AS conductance, row_number() OVER (ORDER BY size DESC, community) AS position FROM con WHERE phi <= 0.98")
 def frozen_filter_sort(spark, d):
-    w = Window.orderBy(F.desc("size"), "community")  # one row per frozen community
-    return _frozen(spark, d).filter("frozen").select("community", "size", "conductance", F.row_number().over(w).cast("long").alias("position"))
+    frozen = settle(_frozen(spark, d).filter("frozen").select("community", "size", "conductance"), "frozen")
+    key = F.struct((-F.col("size")).alias("size"), "community")
+    place = communities.numbered(frozen.select(key.alias("community")), 1)
+    return frozen.join(place.select("community.community", F.col("new").alias("position")), "community").select("community", "size", "conductance", "position")
 
 
 @query(f"{CONDUCTANCE_SQL} SELECT count(*) AS n, count(*) FILTER (phi <= 0.98) AS frozen, count(*) FILTER (size = 1) AS singletons, CAST(round(avg(phi), 6) AS DOUBLE) AS mean, CAST(round(min(phi), 6) AS DOUBLE) AS least, CAST(round(max(phi), 6) AS DOUBLE) AS most, CAST(round(median(phi), 6) AS DOUBLE) AS middle, CAST(median(size) AS DOUBLE) AS middle_size FROM con")
@@ -297,7 +305,7 @@ def node_communities(spark, d):
 
 @query("SELECT s_nationkey AS community, count(DISTINCT l_orderkey) AS n_chunks, min(l_orderkey) AS first_chunk FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY 1")
 def community_source_chunks(spark, d):
-    m = table(spark, d, "lineitem").join(F.broadcast(table(spark, d, "supplier").select("s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey"))
+    m = table(spark, d, "lineitem").join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     return m.select(F.col("s_nationkey").alias("community"), "l_orderkey").distinct().groupBy("community").agg(F.count("*").alias("n_chunks"), F.min("l_orderkey").alias("first_chunk"))
 
 
@@ -320,9 +328,9 @@ def kb_summary_docs(spark, d):
     return g.select("community_id", F.concat("summary", F.lit("\n\nEntities: "), F.array_join("e", ", ")).alias("page_content"), F.size("e").cast("long").alias("entity_count"), F.to_json("c").alias("source_chunks"))
 
 
-@query(f"WITH {MENTIONS_SQL} SELECT id AS entity_id, arg_min(raw, chunk * 100 + epos) AS page_content, '[' || string_agg(DISTINCT '\"' || chunk || '\"', ',' ORDER BY '\"' || chunk || '\"') || ']' AS source_chunks FROM m WHERE chunk < 1000 GROUP BY id")
+@query(f"WITH {MENTIONS_SQL} SELECT id AS entity_id, arg_min(raw, chunk * 100 + epos) AS page_content, '[' || string_agg(DISTINCT '\"' || chunk || '\"', ',' ORDER BY '\"' || chunk || '\"') || ']' AS source_chunks FROM m GROUP BY id")
 def kb_entity_docs(spark, d):
-    v = graph.vertices(extractions(spark, d).filter("pos < 1000"))
+    v = graph.vertices(extractions(spark, d))
     quoted = F.transform("source_ids", lambda x: F.concat(F.lit('"'), x, F.lit('"')))
     return v.select(F.col("node_id").alias("entity_id"), F.col("name").alias("page_content"), F.concat(F.lit("["), F.array_join(F.array_sort(quoted), ","), F.lit("]")).alias("source_chunks"))
 
@@ -420,20 +428,127 @@ def graph_hybrid(spark, d):
     return retrieval.graph_hybrid(summaries, hits, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
+PROBE_SQL = """e AS (SELECT vec_id AS entity_id, 'e' || vec_id AS name, embedding AS v FROM embeddings WHERE vec_id % 3 = 0),
+kw AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'e' ELSE 'E' END || item_id AS keyword FROM benchmark UNION ALL SELECT item_id, 'e' || (item_id * 3) FROM benchmark),
+asked AS (SELECT * FROM kw WHERE keyword IN (SELECT name FROM e))"""
+
+
+def _entities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every third vector is an entity that stands in two chunks; items ask for their own number and its triple."""
+    v = table(spark, d, "embeddings")
+    name = F.concat(F.lit("e"), F.col("vec_id").cast("string"))
+    own = v.filter("vec_id % 3 = 0").select(F.col("vec_id").alias("entity_id"), name.alias("name"), F.col("embedding").alias("v"), F.array(F.col("vec_id"), F.col("vec_id") + 1).alias("chunks"))
+    i = F.col("item_id")
+    asked = F.array(F.concat(F.when(i % 2 == 0, "e").otherwise("E"), i.cast("string")), F.concat(F.lit("e"), (i * 3).cast("string")))
+    keywords = table(spark, d, "benchmark").select(i.alias("query_id"), F.explode(asked).alias("keyword"))
+    # A keyword lies where the entity of the next number does: the nearest one may have another name.
+    shifted = v.select(F.concat(F.lit("e"), (F.col("vec_id") - 1).cast("string")).alias("keyword"), F.col("embedding").alias("q"))
+    return keywords, shifted, own
+
+
+@query(f"WITH {PROBE_SQL} SELECT query_id, keyword FROM asked")
+def entity_probe(spark, d):
+    keywords, _, own = _entities(spark, d)
+    return retrieval.entity_probe(keywords, own)
+
+
+@query(f"""WITH {PROBE_SQL}, kv AS (SELECT 'e' || (vec_id - 1) AS keyword, embedding AS q FROM embeddings),
+d AS (SELECT keyword, entity_id, name, list_sum(list_transform(range(1, 65), lambda i: (CAST(q[i] AS DOUBLE) - CAST(v[i] AS DOUBLE)) * (CAST(q[i] AS DOUBLE) - CAST(v[i] AS DOUBLE)))) AS x FROM (SELECT DISTINCT keyword FROM asked) JOIN kv USING (keyword), e),
+n AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY x, entity_id) = 1),
+b AS (SELECT query_id, unnest([entity_id, entity_id + 1]) AS chunk_id, CASE WHEN lower(name) = lower(keyword) THEN 0.4 ELSE 0.2 END / 61 AS s FROM asked JOIN n USING (keyword)),
+q AS (SELECT item_id AS query_id, embedding AS q FROM benchmark JOIN embeddings ON item_id = vec_id), c AS (SELECT vec_id AS community, embedding AS v FROM embeddings WHERE vec_id % 5 = 0),
+y AS (SELECT query_id, community, list_sum(list_transform(range(1, 65), lambda i: (CAST(q[i] AS DOUBLE) - CAST(v[i] AS DOUBLE)) * (CAST(q[i] AS DOUBLE) - CAST(v[i] AS DOUBLE)))) AS x FROM q, c),
+z AS (SELECT query_id, community, row_number() OVER (PARTITION BY query_id ORDER BY x, community) AS rank FROM y),
+a AS (SELECT query_id, unnest([community, community + 1, community + 2]) AS chunk_id, 0.4 / (60 + rank) AS s FROM z WHERE rank <= 3),
+t AS (SELECT query_id, chunk_id, CAST(round(sum(s), 9) AS DOUBLE) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM t) WHERE rank <= 10""")
+def graph_hybrid_full(spark, d):
+    keywords, vectors, own = _entities(spark, d)
+    v = table(spark, d, "embeddings")
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(v, F.col("query_id") == F.col("vec_id")).select("query_id", F.col("embedding").alias("q"))
+    i = F.col("vec_id")
+    summaries = v.filter("vec_id % 5 = 0").select(i.alias("community"), F.col("embedding").alias("v"), F.array(i, i + 1, i + 2).alias("chunks"))
+    return retrieval.graph_search(queries, keywords, vectors, summaries, own, 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("""SELECT CASE WHEN s_suppkey % 3 > 0 THEN 'chunk' ELSE 'summary' END AS kind, s_nationkey AS query_id, CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_suppkey AS VARCHAR) END AS chunk_id,
+CASE WHEN s_suppkey % 3 = 0 THEN CAST(s_suppkey AS VARCHAR) || ',' || CAST(s_nationkey AS VARCHAR) END AS chunk_ids, s_name AS text, s_acctbal AS score FROM supplier""")
+def search_results(spark, d):
+    s, own = table(spark, d, "supplier"), F.col("s_suppkey") % 3 > 0
+    listed = F.to_json(F.array(F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")))
+    hits = s.select(F.col("s_nationkey").alias("query_id"), F.col("s_name").alias("page_content"), F.when(own, F.col("s_suppkey")).alias("chunk_id"), F.when(~own, listed).alias("source_chunk_ids"), F.col("s_acctbal").alias("score"))
+    return retrieval.search_results(hits).withColumn("chunk_ids", F.array_join("chunk_ids", ","))
+
+
+@query("SELECT conv_id, arg_max(role, struct_pack(a := turn, b := role)) AS topic FROM conversations GROUP BY conv_id")
+def true_labels(spark, d):
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("msg_id"), F.col("role").alias("topic_id"), F.struct("turn", "role").alias("pos"))
+    return last_label(c, "msg_id", "topic_id").select(F.col("msg_id").alias("conv_id"), F.col("topic_id").alias("topic"))
+
+
+@query("SELECT l_suppkey AS msg_id, max(l_orderkey) AS chunk_id FROM lineitem GROUP BY 1")
+def predicted_labels(spark, d):
+    chunks = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("pos"), F.col("l_orderkey").alias("chunk_id"), F.array("l_suppkey").alias("msg_ids"))
+    return chunk_labels(chunks)
+
+
+@query("""WITH h AS (SELECT n_regionkey AS query_id, n_nationkey AS entity, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rank FROM nation),
+u AS (SELECT query_id, s_suppkey % 40 AS unit, min(rank) AS best, count(*) AS n FROM h JOIN supplier ON s_nationkey = entity GROUP BY ALL),
+r AS (SELECT query_id, unit, row_number() OVER (PARTITION BY query_id ORDER BY best, n DESC, unit) AS rank FROM u)
+SELECT query_id, 'c' || unit AS chunk_id, rank FROM r WHERE rank <= 6 AND unit % 4 <> 3""")
+def local_search(spark, d):
+    from threadloom.plans import rag
+
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
+    hits = n.select(F.col("n_regionkey").alias("query_id"), F.col("n_nationkey").alias("entity"), F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).alias("rank"))
+    units = s.select(F.col("s_nationkey").alias("entity"), (F.col("s_suppkey") % 40).alias("unit"))
+    chunks = units.select("unit").distinct().filter("unit % 4 <> 3").select("unit", F.concat(F.lit("c"), F.col("unit").cast("string")).alias("chunk_id"))
+    return rag.local_search(hits, units, chunks, 6).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("""WITH p AS (SELECT item_id AS query_id, doc_id, text FROM (SELECT item_id FROM benchmark) JOIN documents ON doc_id % 40 = item_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id, text) AS k FROM p)
+SELECT item_id AS query_id, coalesce(string_agg(k.text, chr(10) || chr(10) ORDER BY k) FILTER (k <= 3), 'empty') AS context, coalesce(string_agg('[' || k || '] ' || doc_id, ';' ORDER BY k) FILTER (k <= 3), 'no source found') AS sources
+FROM benchmark LEFT JOIN k ON query_id = item_id GROUP BY item_id""")
+def answers(spark, d):
+    from threadloom.plans import rag
+
+    docs = table(spark, d, "documents").select("doc_id", "text", F.col("doc_id").cast("string").alias("chunk_id"))
+    q = _items(spark, d)
+    ranked = docs.join(q.select("query_id"), F.col("doc_id") % 40 == F.col("query_id")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id", "text"))).filter("rank <= 3")
+    got = rag.answers(q, ranked.select("query_id", "chunk_id", "rank"), docs.select("chunk_id", "text"))
+    return got.select("query_id", "context", F.array_join("sources", ";").alias("sources"))
+
+
+@query(f"{CONDUCTANCE_SQL} SELECT community, CAST(round(phi, 4) AS DOUBLE) AS stored, CAST(round(phi, 4) AS DOUBLE) AS counted, TRUE AS agrees FROM con ORDER BY community LIMIT 5")
+def conductance_check(spark, d):
+    return graph.verify_conductance(supplier_edges(spark, d), _frozen(spark, d), supplier_members(spark, d))
+
+
+@query(f"{CONDUCTANCE_SQL} SELECT CAST(community % 3 AS INT) AS level, count(*) AS n, count(*) FILTER (phi <= 0.98) AS n_frozen, count(*) FILTER (size = 1) AS n_single, round(avg(CAST(round(phi, 4) AS DOUBLE)), 4) AS mean_conductance FROM con GROUP BY 1")
+def community_levels(spark, d):
+    return graph.community_levels(_frozen(spark, d).withColumn("level", (F.col("community") % 3).cast("int")))
+
+
 # --- evaluation
 
 
 def truth(spark: SparkSession, d: str) -> DataFrame:
-    """(query_id, doc_id) of the documents that hold a benchmark passage, met by the passage's first words."""
-    first = lambda c: F.concat_ws(" ", F.slice(c, 1, 4))
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.split("text", " ").alias("w")).filter(F.size("w") >= 6)
-    # The first word may be cut by what stands before it, so the key starts at the second.
-    items = items.select("query_id", "passage", first(F.slice(F.col("w"), 2, 4)).alias("key"))
-    docs = table(spark, d, "documents").select("doc_id", "text", F.split("text", " ").alias("w"))
+    """(query_id, doc_id) of the documents that hold a benchmark passage: they meet by four words of it
+    that have spaces on both sides, and passages too short for that are looked for in every document."""
+    both = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.split("text", " ").alias("w"))
+    # The first word may be cut by what stands before it, and the last by what follows.
+    long = both.filter(F.size("w") >= 6).select("query_id", "passage", F.concat_ws(" ", F.slice("w", 2, 4)).alias("key"))
+    short = both.filter(F.size("w") < 6).select("query_id", "passage")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    words = docs.select("doc_id", "text", F.split("text", " ").alias("w"))
     keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("w", i, 4))))
-    at = docs.select("doc_id", F.explode(keys).alias("key")).join(F.broadcast(items.select("query_id", "key")), "key")
+    at = words.select("doc_id", F.explode(keys).alias("key")).join(long.select("query_id", "key"), "key")
     pairs = at.select("query_id", "doc_id").distinct()
-    return pairs.join(docs.select("doc_id", "text"), "doc_id").join(items.select("query_id", "passage"), "query_id").filter(F.contains("text", F.col("passage"))).select("query_id", "doc_id")
+    met = pairs.join(docs, "doc_id").join(long.select("query_id", "passage"), "query_id").filter(F.contains("text", F.col("passage"))).select("query_id", "doc_id")
+    if short.isEmpty():
+        return met
+    return met.unionByName(docs.join(short, F.contains(docs["text"], short["passage"])).select("query_id", "doc_id")).distinct()
 
 
 TRUTH_SQL = "tr AS (SELECT item_id AS query_id, doc_id FROM benchmark b, documents d WHERE contains(d.text, b.text))"
@@ -538,12 +653,18 @@ def hierarchy_detect(spark, d):
 
 @query()
 def recursive_split(spark, d):
-    return splitters.split_rows(table(spark, d, "documents").select("doc_id", "text"), splitters.recursive, 750, 150)
+    return splitters.split_rows(table(spark, d, "documents"), "recursive", 750, 150)
 
 
 @query()
 def sentence_split(spark, d):
-    return splitters.split_rows(table(spark, d, "documents").select("doc_id", "text"), splitters.sentences, 250, 0)
+    return splitters.split_rows(table(spark, d, "documents"), "sentences", 250, 0)
+
+
+@query("""WITH q AS (SELECT doc_id, regexp_replace(regexp_replace(replace(text, '. ', '。'), '([。！？]["’”」』]{0,2})', '\\1' || chr(1), 'g'), chr(1) || '(["‘“「『。！？]|$)', '\\1', 'g') AS t FROM documents)
+SELECT doc_id, CAST(generate_subscripts(string_split(t, chr(1)), 1) - 1 AS INT) AS pos, unnest(string_split(t, chr(1))) AS piece FROM q WHERE t <> ''""")
+def quoted_split(spark, d):
+    return splitters.split_rows(table(spark, d, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit("。")).alias("text")), "quoted_sentences")
 
 
 @query()

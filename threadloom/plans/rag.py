@@ -10,7 +10,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.functions import splitters, text
+from threadloom.functions import text
 from threadloom.functions.providers import Completion, complete
 from threadloom.operators import communities, graph
 
@@ -50,14 +50,6 @@ def safe_path(root: str, name: str) -> str:
     return path
 
 
-SPLITTERS: dict[str, Callable[..., list[str]]] = {"recursive": splitters.recursive, "sentences": splitters.sentences}
-
-
-def splitter(name: str | None) -> Callable[..., list[str]]:
-    """A splitter by name; the recursive one for an unknown or empty name."""
-    return SPLITTERS.get(name or "", splitters.recursive)
-
-
 STAGES: dict[str, Callable[..., DataFrame]] = {}
 
 

@@ -181,7 +181,12 @@ def read_true_labels(spark: SparkSession, path: str) -> DataFrame:
     """msg_id, topic_id; of a message given twice the last."""
     schema = "content array<struct<msg_id: string, topic_id: string>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("content").alias("pos", "c"))
-    return rows.groupBy("c.msg_id").agg(F.max_by("c.topic_id", "pos").alias("topic_id"))
+    return last_label(rows.select("c.msg_id", "c.topic_id", "pos"), "msg_id", "topic_id")
+
+
+def last_label(rows: DataFrame, key: str, label: str) -> DataFrame:
+    """``key`` and ``label``; of a key given twice the one of the largest ``pos``."""
+    return rows.groupBy(key).agg(F.max_by(label, "pos").alias(label))
 
 
 def predicted_labels(chunks: DataFrame) -> DataFrame:
