@@ -90,3 +90,37 @@ def test_providers(spark):
     assert {r.id: r.reply for r in complete(p, str.upper, replay).collect()} == {1: "known", 2: "B"}
     v = embed(spark.createDataFrame([(1, "x y"), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert abs(sum(x * x for x in v[0].embedding) - 1) < 1e-5 and sum(v[1].embedding) == 0
+
+
+def test_runs_and_summaries_round_trip(spark, tmp_path):
+    c, m = spark.createDataFrame([(0, 0.5)], "community long, conductance double"), spark.createDataFrame([(0, 7)], "community long, node long")
+    for r in (1.0, 1.0, 2.5):
+        sinks.write_communities(c, m, str(tmp_path / "c"), r, 0.3)
+    got, members = sinks.read_communities(spark, str(tmp_path / "c"))
+    assert sorted((x.resolution, x.threshold) for x in got.collect()) == [(1.0, 0.3), (2.5, 0.3)] and members.count() == 2
+    s = spark.createDataFrame([(0, "text", ["a"])], "community long, summary string, entities array<string>")
+    sinks.write_summaries(s, str(tmp_path / "s"))
+    assert [tuple(x) for x in sinks.read_summaries(spark, str(tmp_path / "s")).collect()] == [(0, "text", ["a"])]
+    sinks.write_metrics(spark.createDataFrame([(0.5, 0.25)], "nmi double, ari double"), str(tmp_path / "m"), 1.0, 0.3)
+    assert spark.read.json(str(tmp_path / "m")).first().nmi == 0.5
+
+
+def test_knowledge_base_by_key(spark, tmp_path):
+    kb = str(tmp_path / "kb")
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    assert sinks.open_kb(spark, kb, "x") is None and not sinks.drop_kb(spark, kb, "x")
+    sinks.upsert_kb(docs, kb, "x", key="doc_id", embed=lambda d: d.join(embed(d), "doc_id"))
+    sinks.upsert_kb(spark.createDataFrame([(2, "c"), (3, "d")], "doc_id long, text string"), kb, "x", key="doc_id", embed=lambda d: d.join(embed(d), "doc_id"))
+    assert sorted((r.doc_id, r.text, len(r.embedding)) for r in sinks.open_kb(spark, kb, "x").collect()) == [(1, "a", 64), (2, "c", 64), (3, "d", 64)]
+    assert sinks.drop_kb(spark, kb, "x") and sinks.open_kb(spark, kb, "x") is None
+
+
+def test_images_slides_and_tables(spark, tmp_path):
+    images = spark.createDataFrame([(60, 60, 100, 100, 90), (59, 99, 100, 100, 0), (99, 10, 100, 100, 45)], "width int, height int, page_width int, page_height int, angle int")
+    assert loaders.images_to_read(images).count() == 1
+    w, h = loaders.turned_size(F.lit(30), F.lit(20), F.lit(90))
+    assert tuple(spark.range(1).select(w, h).first()) == (20, 30)
+    shapes = spark.createDataFrame([(1, 5, 0, "low"), (1, 0, 9, "right "), (1, 0, 1, "left"), (2, 0, 0, " "), (1, 1, 1, None)], "slide int, top int, left int, text string")
+    assert [tuple(r) for r in loaders.reading_order(shapes).collect()] == [(1, "left\nright\nlow")]
+    (tmp_path / "t.csv").write_text("a,b c\n1,x\n,\n")
+    assert [r.page_content for r in loaders.csv_documents(spark, str(tmp_path / "t.csv")).orderBy("row").collect()] == ["a: 1\nb c: x", "a: \nb c: "]

@@ -157,6 +157,32 @@ def load_files(spark: SparkSession, path: str, recognise: Callable[[bytes], str]
     return files.mapInArrow(run, "path string, reader string, page_content string")
 
 
+def images_to_read(images: DataFrame, least: float = 0.6) -> DataFrame:
+    """The images (width, height, page_width, page_height) that are large enough on both sides of their page to be read."""
+    return images.filter((F.try_divide("width", "page_width") >= least) & (F.try_divide("height", "page_height") >= least))
+
+
+def turned_size(width: Column | str, height: Column | str, angle: Column | str) -> tuple[Column, Column]:
+    """(width, height) of an image turned by ``angle`` degrees, so that all of it is seen."""
+    w, h = col(width), col(height)
+    c, s = F.abs(F.cos(F.radians(col(angle)))), F.abs(F.sin(F.radians(col(angle))))
+    return F.floor(h * s + w * c), F.floor(h * c + w * s)
+
+
+def reading_order(shapes: DataFrame) -> DataFrame:
+    """slide and text of shapes (slide, top, left, text), from the top and then from the left; empty ones go."""
+    line = F.trim("text")
+    own = shapes.filter(F.coalesce(line, F.lit("")) != "").groupBy("slide").agg(F.array_sort(F.collect_list(F.struct("top", "left", line.alias("text")))).alias("x"))
+    return own.select("slide", F.array_join(F.transform("x", lambda s: s["text"]), "\n").alias("text"))
+
+
+def csv_documents(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """path, row, page_content: a document for each row of CSV files, a ``column: value`` line for each field."""
+    rows = spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).csv(path)
+    lines = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in rows.columns])
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("row"), lines.alias("page_content"))
+
+
 CHUNKS = "window_id string, method string, chunks array<struct<chunk_id: string, concat_text: string, msg_ids: array<string>, messages: array<struct<`from`: string, text: string>>>>"
 
 
