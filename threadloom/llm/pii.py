@@ -105,6 +105,7 @@ NEAR = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end",
 IDS = pa.list_(pa.int64())
 TERMS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("removed", pa.bool_())]))
 ROW_NO = StructField("row_no", LongType())
+NAMED = StructField("named", BooleanType())
 SPANS = StructField("base", ArrayType(StructType([StructField(c, IntegerType()) for c in ("start", "kind", "end")])))
 CHOSEN = StructField("terms", ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("removed", BooleanType())])))
 PLACES = StructField("near", ArrayType(StructType([StructField("term", LongType()), StructField("start", IntegerType()), StructField("end", IntegerType())])))
@@ -145,7 +146,8 @@ def _mentions(batches):
 
 
 def _candidates(wanted, anywhere):
-    """The places of the terms that may be disclosing ones, of the rows that have any.
+    """The places of the terms that may be disclosing ones, of the rows that have any, and
+    whether such a row is ``named``, that is, has an identifier.
 
     In rows without an identifier only those that go anywhere count.
     """
@@ -158,20 +160,21 @@ def _candidates(wanted, anywhere):
                 first, last, term = _terms(cps, bounds)
                 base = batch.column("base").slice(a, b - a).to_pylist()
                 row = np.searchsorted(bounds, first, side="right") - 1
-                named = np.array([bool(x) for x in base], bool)[row] if len(row) else np.zeros(0, bool)
+                held = np.array([bool(x) for x in base], bool)[row] if len(row) else np.zeros(0, bool)
                 ok = few.has(term)
-                ok[named] |= keep.has(term[named])
+                ok[held] |= keep.has(term[held])
                 first, last, term, row = first[ok], last[ok], term[ok], row[ok]
                 cut = np.searchsorted(row, np.arange(b - a + 1))
-                rows, near = [], []
+                rows, named, near = [], [], []
                 for r in np.unique(row).tolist():
                     lo, hi, at = int(cut[r]), int(cut[r + 1]), int(bounds[r])
                     f, l, t = first[lo:hi] - at, last[lo:hi] - at, term[lo:hi]
                     out = _outside([(x["start"], x["kind"], x["end"]) for x in base[r]], f, l)
                     rows.append(a + r)
+                    named.append(bool(base[r]))
                     near.append([{"term": x, "start": y, "end": z} for x, y, z in zip(t[out].tolist(), f[out].tolist(), l[out].tolist(), strict=True)])
                 if rows:
-                    yield pa.RecordBatch.from_pydict({"row_no": batch.column("row_no").take(pa.array(rows)), "near": pa.array(near, NEAR)})
+                    yield pa.RecordBatch.from_pydict({"row_no": batch.column("row_no").take(pa.array(rows)), "named": pa.array(named), "near": pa.array(near, NEAR)})
 
     return run
 
@@ -253,10 +256,8 @@ def _located(documents: DataFrame, carry: list[str], finish: Callable[[Iterator]
     found = settle(rows.mapInArrow(_mentions, StructType([*rows.schema, ROW_NO, SPANS, *held])), "found")
     flagged = settle(disclosing_terms(found, documents.select("text")), "disclosing")
     filters = [spark.sparkContext.broadcast(id_filter(x.select(F.col("term").alias("id"))).bits) for x in (flagged, flagged.filter("anywhere"))]
-    near = found.select(*(own or ["row"]), "row_no", "base").mapInArrow(_candidates(*filters), StructType([ROW_NO, PLACES]))
-    named = found.filter(F.size("base") > 0).select("row_no", F.lit(True).alias("named"))
-    each = near.select("row_no", F.explode("near").alias("x")).select("row_no", "x.*").join(flagged, "term")
-    each = each.filter("anywhere").unionByName(each.filter("not anywhere").join(named, "row_no", "left_semi"))
+    near = found.select(*(own or ["row"]), "row_no", "base").mapInArrow(_candidates(*filters), StructType([ROW_NO, NAMED, PLACES]))
+    each = near.select("row_no", "named", F.explode("near").alias("x")).select("row_no", "named", "x.*").join(flagged, "term").filter("anywhere or named")
     terms = settle(each.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms")), "terms")
     some = spark.sparkContext.broadcast(id_filter(terms.select(F.col("row_no").alias("id"))).bits)
     # Only rows that may have terms meet them in a join; the others pass in one step.
