@@ -268,6 +268,10 @@ def test_lm_scoring(spark):
     got = {r.doc_id: r for r in lm_scoring.score_documents(frame(spark, rows), labels).collect()}
     assert got[35].score < 0 < got[36].score and got[100].score is None and got[101].n_tokens == 0 and got[35].n_tokens == 5
     assert len(got) == 43
+    # Far more buckets than a block has hashes.
+    many = {r.doc_id: r for r in lm_scoring.score_documents(frame(spark, rows), labels, 8).collect()}
+    assert many == got
+    assert lm_scoring.score_documents(frame(spark, rows).limit(0), labels).count() == 0
 
 
 def test_lm_scoring_counts_every_ngram(spark):

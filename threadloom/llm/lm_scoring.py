@@ -10,11 +10,15 @@ Words and bigrams are counted by 64-bit hashes, none left out. Texts are kept
 in blocks. Each block sends its distinct hashes, with its own counts, to buckets of
 hashes; a bucket adds them up and sends every block the sums in the order of what
 came; the block's texts meet them and are scored. Hashes are dealt evenly and a block
-sends each once, so no common word or bigram makes a task larger.
+sends each once, so no common word or bigram makes a task larger. A block has no row for
+a bucket that it has no hash of, so rows grow as the texts do, not as blocks times buckets;
+the sizes of vocabulary and models, which every block needs, are added up beforehand.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -54,11 +58,17 @@ def _blocks(batches):
             block += 1
 
 
-def _ngrams(lengths: bytes, texts: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]:
-    """(distinct hashes, the index of each word's, of what stands before it and of each bigram, that of the start, row of every word, rows' bounds)."""
+def _words_of(lengths: bytes, texts: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, rows' bounds)."""
     bounds = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, np.int64))])
     cps = textkernel.code_points(pa.decompress(texts, size, "zstd", asbytes=True).decode())
     word, _, _, rb = textkernel.word_hashes(cps, bounds)
+    return word, rb
+
+
+def _ngrams(lengths: bytes, texts: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]:
+    """(distinct hashes, the index of each word's, of what stands before it and of each bigram, that of the start, row of every word, rows' bounds)."""
+    word, rb = _words_of(lengths, texts, size)
     n, first = len(word), rb[:-1][rb[:-1] < rb[1:]]
     before = np.concatenate([[START], word])[:n]
     before[first] = START
@@ -83,20 +93,56 @@ def _unpacked(blob: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, n).T).view(f"u{width}").reshape(n)
 
 
-#: Hashes go as steps from one to the next; ``words`` marks those that are words, by a bit each.
-#: A word is a context as often as it stands anywhere, less how often it ends a text; the start counts as a word that ends none.
+#: Hashes go as steps from one to the next. A word is a context as often
+#: as it stands anywhere, less how often it ends a text; the start counts as a word that ends none.
 COUNTS = ("background", "target", "background_ends", "target_ends")
-SENT = "bucket long, block long, n long, keys binary, words binary, " + ", ".join(f"{c} binary" for c in COUNTS)
+SENT = "bucket long, block long, n long, keys binary, " + ", ".join(f"{c} binary" for c in COUNTS)
+
+
+def _good(r: dict) -> np.ndarray:
+    """Which texts of a block are good."""
+    return np.unpackbits(np.frombuffer(r["good"] or b"", np.uint8), count=len(r["ids"])).astype(bool)
+
+
+WORDS = "id long, n_background long, n_target long"
+
+
+def _added(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Words with their counts, equal ones added up."""
+    if held:
+        ids, background, target = (np.concatenate(x) for x in zip(*held, strict=True))
+        ids, index = np.unique(ids, return_inverse=True)
+        # Weights are doubles, exact up to 2**53.
+        sums = [np.bincount(index, weights=n, minlength=len(ids)).astype(np.int64) for n in (background, target)]
+        for i in range(0, len(ids), 100_000):
+            yield pa.RecordBatch.from_pydict({"id": ids[i : i + 100_000].view(np.int64)} | {c: n[i : i + 100_000] for c, n in zip(("n_background", "n_target"), sums, strict=True)})
+
+
+@textkernel.tidied
+def _words(batches):
+    """The distinct words of a task's blocks, with their counts in both models."""
+    held, size = [], 0
+    for batch in batches:
+        for r in batch.to_pylist():
+            word, rb = _words_of(r["lengths"], r["texts"], r["size"])
+            ids, index = np.unique(word, return_inverse=True)
+            good = np.repeat(_good(r), np.diff(rb))
+            held.append((ids, np.bincount(index, minlength=len(ids)), np.bincount(index[good], minlength=len(ids))))
+            size += len(ids)
+            if size > 1_000_000:
+                yield from _added(held)
+                held, size = [], 0
+    yield from _added(held)
 
 
 def _send(buckets: int):
-    """A row for each block and bucket, also where it has nothing to send."""
+    """A row for each block and bucket that it has hashes of."""
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 keys, word, _, pair, start, row, rb = _ngrams(r["lengths"], r["texts"], r["size"])
-                good = np.unpackbits(np.frombuffer(r["good"] or b"", np.uint8), count=len(r["ids"])).astype(bool)
+                good = _good(r)
                 counts = []
                 for rows in (np.ones(len(good), bool), good):
                     rows = rows & (rb[:-1] < rb[1:])
@@ -104,16 +150,14 @@ def _send(buckets: int):
                     counts.append(np.bincount(np.concatenate([word[own], pair[own], np.full(rows.sum(), start)]), minlength=len(keys)))
                     counts.append(np.bincount(word[rb[1:][rows] - 1], minlength=len(keys)))
                 counts = dict(zip(COUNTS, counts[::2] + counts[1::2], strict=True))
-                is_word = np.zeros(len(keys), bool)
-                is_word[word] = True
                 bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                cut = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
-                for k in range(0, buckets, 1000):
-                    spans = list(zip(cut[k : k + 1000], cut[k + 1 : k + 1001], strict=False))
+                some, cut = np.unique(bucket, return_index=True)
+                ends = [*cut[1:].tolist(), len(keys)]
+                for k in range(0, len(some), 1000):
+                    spans = list(zip(cut[k : k + 1000].tolist(), ends[k : k + 1000], strict=True))
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "bucket": np.arange(k, k + len(spans)), "block": np.full(len(spans), r["block"]), "n": [y - x for x, y in spans], "keys": [_packed(np.diff(keys[x:y], prepend=np.uint64(0))) for x, y in spans],
-                            "words": [np.packbits(is_word[x:y]).tobytes() for x, y in spans],
+                            "bucket": some[k : k + 1000], "block": np.full(len(spans), r["block"]), "n": [y - x for x, y in spans], "keys": [_packed(np.diff(keys[x:y], prepend=np.uint64(0))) for x, y in spans],
                         }
                         | {name: [_packed(c[x:y]) for x, y in spans] for name, c in counts.items()}
                     )
@@ -121,51 +165,48 @@ def _send(buckets: int):
     return run
 
 
-#: Beside the sums, the bucket's own distinct words and words in all, of background and target.
-SUMS = "block long, bucket long, n long, " + ", ".join(f"{c} binary" for c in COUNTS) + ", vocabulary long, n_background long, n_target long"
+SUMS = "block long, bucket long, n long, " + ", ".join(f"{c} binary" for c in COUNTS)
 
 
 def _add(table: pa.Table) -> pa.Table:
     """Sums of one bucket over all blocks, for each block in the order of its hashes."""
     n = table.column("n").to_numpy()
     keys = np.concatenate([np.cumsum(_unpacked(x, k), dtype=np.uint64) for x, k in zip(table.column("keys").to_pylist(), n.tolist(), strict=True)])
-    word = [np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(table.column("words").to_pylist(), n.tolist(), strict=True)]
-    distinct, first, index = np.unique(keys, return_index=True, return_inverse=True)
-    is_word = np.concatenate(word).astype(bool)[first]
-    out, totals = {}, {}
+    distinct, index = np.unique(keys, return_inverse=True)
+    out = {}
     cut = np.concatenate([[0], np.cumsum(n)]).tolist()
     for name in COUNTS:
         counts = np.concatenate([_unpacked(x, k) for x, k in zip(table.column(name).to_pylist(), n.tolist(), strict=True)])
         # Weights are doubles, exact up to 2**53.
         total = np.bincount(index, weights=counts, minlength=len(distinct)).astype(np.int64)
-        if not name.endswith("_ends"):
-            totals[f"n_{name}"] = np.full(len(n), total[is_word].sum())
         each = total[index]
         out[name] = [_packed(each[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "n": table.column("n")} | out | {"vocabulary": np.full(len(n), is_word.sum())} | totals)
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "n": table.column("n")} | out)
 
 
 SCORE = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
-def _score(texts: pa.Table, sums: pa.Table) -> pa.Table:
-    r = texts.to_pylist()[0]
-    keys, word, before, pair, _, row, rb = _ngrams(r["lengths"], r["texts"], r["size"])
-    sums = sums.sort_by("bucket")
-    size = sums.column("n").to_pylist()
-    vocabulary = sum(sums.column("vocabulary").to_pylist())
-    rows, count = len(rb) - 1, np.diff(rb)
-    losses = []
-    for name in ("target", "background"):
-        counts, ends = (np.concatenate([_unpacked(x, k) for x, k in zip(sums.column(c).to_pylist(), size, strict=True)]).astype(np.int64) for c in (name, f"{name}_ends"))
-        assert len(counts) == len(keys)
-        words, contexts, pairs = counts[word], (counts - ends)[before], counts[pair]
-        unigram = SHARES[1] * words / max(sum(sums.column(f"n_{name}").to_pylist()), 1) + (1 - sum(SHARES)) / max(vocabulary, 1)
-        loss = -np.log(SHARES[0] * pairs / np.maximum(contexts, 1) + unigram)
-        losses.append(np.bincount(row, weights=loss, minlength=rows) / np.maximum(count, 1))
-    t, g = losses
-    none = count == 0
-    return pa.table({"doc_id": pa.array(r["ids"], pa.int64()), "n_tokens": count.astype(np.int64), "target_loss": pa.array(t, mask=none), "background_loss": pa.array(g, mask=none), "score": pa.array(t - g, mask=none)})
+def _score(vocabulary: int, n_words: dict[str, int]):
+    def run(texts: pa.Table, sums: pa.Table) -> pa.Table:
+        r = texts.to_pylist()[0]
+        keys, word, before, pair, _, row, rb = _ngrams(r["lengths"], r["texts"], r["size"])
+        sums = sums.sort_by("bucket")
+        size = sums.column("n").to_pylist()
+        rows, count = len(rb) - 1, np.diff(rb)
+        losses = []
+        for name in ("target", "background"):
+            counts, ends = (np.concatenate([_unpacked(x, k) for x, k in zip(sums.column(c).to_pylist(), size, strict=True)]).astype(np.int64) for c in (name, f"{name}_ends"))
+            assert len(counts) == len(keys)
+            words, contexts, pairs = counts[word], (counts - ends)[before], counts[pair]
+            unigram = SHARES[1] * words / max(n_words[name], 1) + (1 - sum(SHARES)) / max(vocabulary, 1)
+            loss = -np.log(SHARES[0] * pairs / np.maximum(contexts, 1) + unigram)
+            losses.append(np.bincount(row, weights=loss, minlength=rows) / np.maximum(count, 1))
+        t, g = losses
+        none = count == 0
+        return pa.table({"doc_id": pa.array(r["ids"], pa.int64()), "n_tokens": count.astype(np.int64), "target_loss": pa.array(t, mask=none), "background_loss": pa.array(g, mask=none), "score": pa.array(t - g, mask=none)})
+
+    return run
 
 
 def _bits(batches):
@@ -194,11 +235,13 @@ def score_documents(documents: DataFrame, labels: DataFrame, bucket_chars: int =
     buckets = max(1, -(-(n_chars or 0) // bucket_chars))
     # A merge join at any size: what is shuffled then grows as the documents do.
     at = blocks.select("block", F.posexplode("ids").alias("at", "doc_id")).join(good.hint("merge"), "doc_id")
-    flags = at.groupBy("block").agg(F.collect_list("at").alias("at")).mapInArrow(_bits, "block long, good binary")
+    flags = settle(at.groupBy("block").agg(F.collect_list("at").alias("at")).mapInArrow(_bits, "block long, good binary"), "flags")
     flagged = blocks.select("block", "ids", "lengths", "texts", "size").join(flags.hint("broadcast" if (n_docs or 0) <= LABELS_BROADCAST else "merge"), "block", "left")
+    words = flagged.mapInArrow(_words, WORDS).groupBy("id").agg(F.sum("n_background").alias("n_background"), F.sum("n_target").alias("n_target"))
+    vocabulary, n_background, n_target = words.agg(F.count("*"), F.coalesce(F.sum("n_background"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
     sums = flagged.mapInArrow(_send(buckets), SENT).groupBy("bucket").applyInArrow(_add, SUMS)
     texts = blocks.select("block", "ids", "lengths", "texts", "size")
-    return texts.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(_score, SCORE)
+    return texts.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(_score(vocabulary, {"background": n_background, "target": n_target}), SCORE)
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
