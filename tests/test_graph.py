@@ -1,3 +1,8 @@
+import math
+import operator
+import random
+from functools import reduce
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +102,15 @@ def test_partition_finds_a_ring_of_cliques(spark):
     groups = {frozenset(n for n in got if got[n] == c) for c in got.values()}
     assert all(len({got[n] for n in range(base, base + 6)}) == 1 for base in range(0, 120, 10)) and len(groups) >= 6
     assert all(c == min(n for n in got if got[n] == c) for c in got.values())
+
+
+def test_mean_conductance_of_levels_in_any_order(spark):
+    # The mean is 0.97035; in doubles, some orders of the sum end just below it.
+    values = [0.9674, 0.9699, 0.9787, 0.9391, 0.9532, 0.9635, 1.0, 0.991]
+    orders = [random.Random(level).sample(values, len(values)) for level in range(50)]
+    assert min(reduce(operator.add, own) / len(own) for own in orders) < 0.97035
+    rows = [(level, False, 2, x) for level, own in enumerate(orders) for x in own] + [(98, True, 1, None), (99, True, 1, 0.5), (99, True, 1, float("nan"))]
+    c = spark.createDataFrame(rows, "level int, frozen boolean, size long, conductance double").coalesce(1)
+    got = {r.level: r for r in graph.community_levels(c).collect()}
+    assert {got[level].mean_conductance for level in range(50)} == {0.9704}
+    assert got[0][1:4] == (8, 0, 0) and got[98].mean_conductance is None and math.isnan(got[99].mean_conductance)
