@@ -324,6 +324,30 @@ def test_neighbours(spark):
     assert cross_polytope.nearest(df.filter("false"), df).isEmpty()
 
 
+def test_neighbours_stay_when_far_vectors_come(spark):
+    rng = np.random.default_rng(2)
+    near, far = rng.normal(size=(500, 64)), 1000 * rng.normal(size=(6000, 64))
+    x = near / np.linalg.norm(near, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, far]))], "vec_id long, embedding array<double>")
+    few, queries = df.filter("vec_id < 500"), df.filter("vec_id < 500 and vec_id % 25 = 0")
+    alone, beside = (sorted(map(tuple, cross_polytope.nearest(v, queries).collect())) for v in (few, df))
+    assert alone == beside and len(alone) == 200
+    d = np.sqrt(((x[::25, None] - x[None]) ** 2).sum(2))
+    d[np.arange(20), np.arange(0, 500, 25)] = np.inf
+    want = {(25 * i, v) for i, own in enumerate(np.argsort(d, 1)[:, :10].tolist()) for v in own}
+    assert len(want & {(q, v) for q, _, v, _ in beside}) >= 180
+
+
+def test_probes_are_the_nearest_buckets():
+    x = np.random.default_rng(3).normal(size=(5, 20))
+    (y,) = cross_polytope.rotations(x, 4)
+    for probes in (1, 7, 64):
+        got = cross_polytope.probe_codes(x, 2, probes)
+        for row, table in np.ndindex(5, 2):
+            both = (y[row, 2 * table][:, None] + y[row, 2 * table + 1][None, :]).ravel()
+            assert sorted(both[got[row, table]]) == sorted(both)[-probes:] and len(set(got[row, table])) == probes
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 

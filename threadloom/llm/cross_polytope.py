@@ -4,8 +4,9 @@ A unit vector is rotated by sign flips and fast Hadamard transforms, three of ea
 and hashed to the nearest signed axis; two rotations together give a vector its bucket
 in one of ``tables`` tables. A query looks into the buckets of each table whose axes are
 nearest to it, and all vectors found there are ranked by exact Euclidean distance on
-the original vectors. The more vectors there are, the nearer are the nearest, so
-fewer buckets suffice: ``probes_of`` many.
+the original vectors. The number of buckets does not depend on how many vectors there
+are: whether they meet is up to a query and a vector alone, and rows added elsewhere
+hide no neighbour of a query that finds k.
 
 The index holds every vector with its bucket in each table. Queries meet it in blocks
 of ``BLOCK``: a block's probes are sorted by bucket in each table, and each vector of a
@@ -26,19 +27,14 @@ from threadloom.llm.textkernel import ragged, tidied
 from threadloom.session import settle
 
 TABLES = 64
-#: Buckets of a table that a query looks into among FEW vectors.
-PROBES, FEW = 64, 512
+#: Buckets of a table that a query looks into.
+PROBES = 64
 BLOCK = 2048
 #: Vectors that are rotated, and that meet a block, at a time.
 ROTATED, MET = 256, 1024
 SEED = 20
 
 
-def probes_of(n: int) -> int:
-    """Buckets of a table that a query looks into among n vectors: fewer by a quarter of their growth's power, 4 at least."""
-    return max(4, round(PROBES * (FEW / max(n, FEW)) ** 0.25))
-
-
 def hadamard(x: np.ndarray) -> np.ndarray:
     """The fast Walsh-Hadamard transform of the last axis, in place; its width is a power of two."""
     d, h = x.shape[-1], 1
@@ -83,13 +79,15 @@ def probe_codes(x: np.ndarray, tables: int, probes: int) -> np.ndarray:
     out = []
     for y in rotations(x, 2 * tables):
         n, width = len(y), y.shape[2]
-        m = min(width, max(16, probes))
+        m = min(width, probes)
         k = min(probes, m * m)
+        # (i + 1) * (j + 1) pairs are at least as near as the pair of the i-th and the j-th nearest axis.
+        first, second = np.nonzero(np.outer(np.arange(1, m + 1), np.arange(1, m + 1)) <= probes)
         axes = np.argsort(-y, 2)[..., :m].reshape(n, tables, 2, m)
         value = np.take_along_axis(y, axes.reshape(n, 2 * tables, m), 2).reshape(n, tables, 2, m)
-        both = (value[:, :, 0, :, None] + value[:, :, 1, None, :]).reshape(n, tables, -1)
+        both = value[:, :, 0, first] + value[:, :, 1, second]
         best = np.argpartition(-both, k - 1, axis=2)[..., :k]
-        out.append((np.take_along_axis(axes[:, :, 0], best // m, 2) * width + np.take_along_axis(axes[:, :, 1], best % m, 2)).astype(np.int32))
+        out.append((np.take_along_axis(axes[:, :, 0], first[best], 2) * width + np.take_along_axis(axes[:, :, 1], second[best], 2)).astype(np.int32))
     return np.concatenate(out) if out else np.zeros((0, tables, probes), np.int32)
 
 
@@ -140,9 +138,11 @@ def _found(shared, k: int, everything: bool):
         qid, q, probes = shared.value
         n, tables, per = probes.shape
         best, length = Best(n, k), (q * q).sum(1)
-        owner = np.repeat(np.arange(n), per)
-        order = [np.argsort(probes[:, t].ravel(), kind="stable") for t in range(tables)]
-        buckets, owners = [probes[:, t].ravel()[o] for t, o in enumerate(order)], [owner[o] for o in order]
+        owner, buckets, owners = np.repeat(np.arange(n, dtype=np.int32), per), [], []
+        for t in range(tables):
+            order = np.argsort(probes[:, t].ravel(), kind="stable")
+            buckets.append(probes[:, t].ravel()[order])
+            owners.append(owner[order])
         for batch in batches:
             x, lists = matrix(batch.column("v")), batch.column("ids")
             c = batch.column("codes").flatten().to_numpy().reshape(-1, tables)
@@ -195,11 +195,10 @@ def build_index(vectors: DataFrame, k: int, tables: int) -> DataFrame:
 ROW = "query_id long, vec_id long, score double"
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = TABLES, probes: int | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest candidates found of each query, by exact distance.
 
-    ``probes`` buckets of each table are looked into, ``probes_of`` the entries without it.
-    Both tables have vec_id and embedding; a query meets vectors of its own width only.
+    ``probes`` buckets of each of the index's ``tables`` are looked into. Both tables have vec_id and embedding; a query meets vectors of its own width only.
     A vector that shares the query's vec_id is no candidate. Ties go to the smaller
     vec_id. Null, zero and non-finite vectors, or those without a vec_id, take no part on
     either side. Repeated rows count once; of a vec_id with several vectors each counts,
@@ -209,7 +208,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = T
     spark = vectors.sparkSession
     index = build_index(vectors, k, tables)
     asked = usable(queries).distinct().orderBy("vec_id")
-    probes = probes or probes_of(index.count())
 
     def search(rows: list, everything: bool) -> DataFrame:
         out = spark.createDataFrame([], ROW)
