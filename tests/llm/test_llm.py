@@ -303,6 +303,14 @@ def test_lm_scoring_counts_every_ngram(spark):
         assert sorted((str(r.doc_id), r.n_tokens, *(x if x is None else round(x, 9) for x in (r.target_loss, r.background_loss))) for r in got) == want
 
 
+def test_block_without_good_texts():
+    for size in (10, 100, 1000) * 20:
+        used = np.full(size, 255, np.uint8)
+        del used
+        assert not lm_scoring._good({"good": None, "ids": [0] * size}).any()
+    assert lm_scoring._good({"good": b"\x40", "ids": [0] * 20}).nonzero()[0].tolist() == [1]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 16)).astype(np.float32)

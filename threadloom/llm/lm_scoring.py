@@ -101,7 +101,8 @@ SENT = "bucket long, block long, n long, keys binary, " + ", ".join(f"{c} binary
 
 def _good(r: dict) -> np.ndarray:
     """Which texts of a block are good."""
-    return np.unpackbits(np.frombuffer(r["good"] or b"", np.uint8), count=len(r["ids"])).astype(bool)
+    # Of no bytes at all, unpackbits returns memory as it finds it.
+    return np.unpackbits(np.frombuffer(r["good"] or b"\0", np.uint8), count=len(r["ids"])).astype(bool)
 
 
 WORDS = "id long, n_background long, n_target long"
