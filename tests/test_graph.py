@@ -1,11 +1,13 @@
 import math
 import operator
 import random
+from collections import Counter
 from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom import session
 from threadloom.operators import communities, graph
 from threadloom.operators.components import components
 
@@ -114,3 +116,15 @@ def test_mean_conductance_of_levels_in_any_order(spark):
     got = {r.level: r for r in graph.community_levels(c).collect()}
     assert {got[level].mean_conductance for level in range(50)} == {0.9704}
     assert got[0][1:4] == (8, 0, 0) and got[98].mean_conductance is None and math.isnan(got[99].mean_conductance)
+
+
+def test_cooccurrence_is_dealt_out_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS", 100)
+    r = random.Random(3)
+    # One pair is in every group, a group is large, an entity repeats, and rows without a group or an entity tell nothing.
+    groups = {g: {"x", "y", *(f"e{r.randrange(40)}" for _ in range(5))} for g in range(200)} | {200: {f"e{i}" for i in range(60)}}
+    rows = [(g, e) for g, own in groups.items() for e in [*sorted(own), min(own)]] + [(None, "x"), (None, "y"), (5, None)]
+    got = graph.cooccurrence(spark.createDataFrame(rows, "g long, e string"), "g", "e")
+    want = Counter((a, b) for own in groups.values() for a in own for b in own if a < b)
+    assert {(x.src, x.dst): x.weight for x in got.collect()} == want and got.schema["weight"].dataType.simpleString() == "bigint"
+    assert got.rdd.getNumPartitions() >= 2 * len(rows) / 100
