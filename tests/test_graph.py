@@ -184,3 +184,17 @@ def test_types_of_edges_dealt_out(spark, chunks):
         assert {(e.src, e.dst): e.edge_type for e in got.collect()} == {k: v[1] for k, v in plain_edges(rows).items()}
     plan = graph.edge_types(session.dealt(x, "chunk_id", 3), 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "SortAggregate" not in plan
+
+
+def test_hierarchy_reads_its_edges_once(spark):
+    e, nodes = two_cliques(spark)
+    read = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    split = lambda edge, n: n.select("node", F.floor(F.col("node") / 10).alias("community"))
+    c, _ = communities.detect_hierarchy(e.mapInArrow(told, e.schema), nodes, 0.3, split=split)
+    assert c.count() == 3 and read.value == e.count()
